@@ -1,20 +1,25 @@
 """Byte-level BPE encoding and decoding by ranked merges.
 
-Three steps in one stage, without a shuffle: the rows of a task are gathered into blocks of bounded text and cut into distinct
-words; Spark higher-order functions fold the ranked merges over each distinct word of a block; the ids go back to the texts.
+The rows of a task are gathered into blocks of bounded text and cut into distinct words; ranked merges run over each distinct
+word of a block once; the ids go back to the texts. There is no shuffle. fold_words() is the same fold in Spark's higher-order
+functions; interpreted, it takes several times the CPU seconds that a GB may take.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
+import gc
 import heapq
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import batch_of
 
 #: Fixed value: the rank that stands for "these two pieces do not merge".
 NONE = 2**31 - 1
@@ -22,9 +27,7 @@ NONE = 2**31 - 1
 HALF, OTHER, RANK_BITS = 402653, 389171, 17
 #: Words of more bytes are merged with a heap, as a fold takes time with the square of a word's length.
 FOLD_BYTES = 48
-BLOCK_BYTES = 48 << 20
-
-BLOCK = "doc_ids array<bigint>, n_chunks array<int>, chunks binary, chunk_words array<array<int>>, finished array<array<int>>, words array<array<int>>, ranks array<bigint>"
+BLOCK_BYTES = 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -113,9 +116,18 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["ids"])
 
 
-class Cutter:
-    """Cuts texts into the words of a pattern. A text is first split before each space that a visible character follows (every
-    match of the pattern ends there), so that the pattern runs over distinct chunks only."""
+def fold_words(words: DataFrame, ranks_path: str, pieces_col: str = "pieces", out_col: str = "ids") -> DataFrame:
+    """Add the ids of each distinct word (array<int> of the ids of its single bytes) by a fold of higher-order functions alone.
+
+    It never leaves the JVM, but interpreted lambdas take about 0.1 ms a word; encode() merges the words of a block with numpy.
+    Words of one piece and null words stay as they are.
+    """
+    table = words.sparkSession.createDataFrame([(rank_table(load_ranks(ranks_path)).tolist(),)], "ranks array<bigint>")
+    return words.join(F.broadcast(table)).withColumn(out_col, F.when(F.size(pieces_col) > 1, fold_merges(F.col(pieces_col), F.col("ranks"))).otherwise(F.col(pieces_col))).drop("ranks")
+
+
+class Encoder:
+    """Encodes texts block by block: ranked merges run once over each distinct word of a block."""
 
     def __init__(self, pattern: str, ranks: dict[bytes, int], table: np.ndarray):
         import re
@@ -125,40 +137,98 @@ class Cutter:
         self.words_of = regex.compile(pattern).findall
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.ranks, self.table = ranks, table
-        self.single = [ranks[bytes([b])] for b in range(256)]
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.pieces = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.pieces[rank] = token
 
-    def block(self, ids: list, texts: list[str]) -> dict:
-        """A str key is a chunk after a space, a tuple one that begins a text or a word of a text with odd spaces."""
-        seen: dict = {}
-        number = lambda key: seen.setdefault(key, len(seen))
-        chunks, counts = [], []
-        for text in texts:
-            if not text:
-                own = []
-            elif self.odd(text):
-                own = [number((w,)) for w in self.words_of(text)]
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 16 | b
+        own, other = self.table[key % HALF], self.table[HALF + key % OTHER]
+        low = (1 << RANK_BITS) - 1
+        return np.where(own >> RANK_BITS == key, own & low, np.where(other >> RANK_BITS == key, other & low, NONE))
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of words of two bytes or more, as bytes. Words with equally many pieces are rows of one matrix; a step merges the
+        leftmost pair of lowest rank in each row and hands the rows, a piece shorter, to the next matrix."""
+        out: list[bytes] = [b""] * len(words)
+        by_size: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_size.setdefault(len(w), []).append(k)
+        left: dict[int, list[tuple]] = {}
+        for n in range(max(by_size, default=0), 0, -1):
+            own = left.pop(n, [])
+            if n in by_size:
+                at = np.array(by_size[n])
+                m = self.single[np.frombuffer(b"".join([words[k] for k in by_size[n]]), np.uint8)].reshape(-1, n)
+                own.append((at, m, self.rank(m[:, :-1], m[:, 1:])))
+            if not own:
+                continue
+            at, m, r = (np.concatenate(x) for x in zip(*own, strict=True))
+            p = r.argmin(1) if n > 1 else np.zeros(len(at), np.int64)
+            low = r[np.arange(len(at)), p] if n > 1 else np.full(len(at), NONE)
+            done = low == NONE
+            raw = m[done].astype("<u4").tobytes()
+            for i, k in enumerate(at[done].tolist()):
+                out[k] = raw[4 * n * i : 4 * n * (i + 1)]
+            at, m, r, p, low = at[~done], m[~done], r[~done], p[~done], low[~done]
+            if not len(at):
+                continue
+            col, rows = np.arange(n - 1), np.arange(len(at))
+            m = np.where(col < p[:, None], m[:, :-1], m[:, 1:])
+            m[rows, p] = low
+            if n > 2:
+                r = np.where(col[:-1] < p[:, None], r[:, :-1], r[:, 1:])
+                i = rows[p > 0]
+                r[i, p[i] - 1] = self.rank(m[i, p[i] - 1], low[i])
+                i = rows[p < n - 2]
+                r[i, p[i]] = self.rank(low[i], m[i, p[i] + 1])
             else:
-                first, *rest = text.split(" ")
-                own = [number((first,))] if first else []
-                own += [number(c) for c in rest]
-            chunks.append(np.array(own, np.int32))
-            counts.append(len(own))
-        words: dict[str, int] = {}
-        chunk_words = [[words.setdefault(w, len(words)) for w in self.words_of(" " + key if isinstance(key, str) else key[0])] for key in seen]
-        finished, folded = [], []
-        for w in words:
-            raw = w.encode()
-            whole = self.ranks.get(raw)
+                r = np.zeros((len(at), 0), np.int64)
+            left.setdefault(n - 1, []).append((at, m, r))
+        return out
+
+    def word_ids(self, words: list[str]) -> list[bytes]:
+        raw = [w.encode() for w in words]
+        out = [b""] * len(raw)
+        short = []
+        for k, w in enumerate(raw):
+            whole = self.ranks.get(w)
             if whole is not None:
-                finished.append([whole])
-                folded.append(None)
-            elif len(raw) > FOLD_BYTES:
-                finished.append(merge_with_heap([self.single[b] for b in raw], self.table))
-                folded.append(None)
+                out[k] = whole.to_bytes(4, "little")
+            elif len(w) > FOLD_BYTES:
+                out[k] = np.array(merge_with_heap(self.single[np.frombuffer(w, np.uint8)].tolist(), self.table), "<u4").tobytes()
             else:
-                finished.append(None)
-                folded.append([self.single[b] for b in raw])
-        return {"doc_ids": ids, "n_chunks": counts, "chunks": (np.concatenate(chunks) if chunks else np.zeros(0, np.int32)).tobytes(), "chunk_words": chunk_words, "finished": finished, "words": folded, "ranks": self.table}
+                short.append(k)
+        for k, ids in zip(short, self.merge([raw[k] for k in short]), strict=True):
+            out[k] = ids
+        return out
+
+    def block(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """ids and decoded bytes of each text. A text is first split before each space that a visible character follows (every match
+        of the pattern ends there), so that the pattern runs over distinct chunks only. A str key is a chunk after a space, a tuple
+        one that begins a text or a word of a text with odd spaces."""
+        seen: defaultdict = defaultdict()
+        seen.default_factory = seen.__len__
+        number, chunks = seen.__getitem__, []
+        for text in texts:
+            if self.odd(text):
+                chunks.append([number((w,)) for w in self.words_of(text)])
+            else:
+                first, *rest = text.split(" ")
+                chunks.append(np.fromiter(map(number, [(first,), *rest] if first else rest), np.int32))
+        words: defaultdict = defaultdict()
+        words.default_factory = words.__len__
+        word, words_of = words.__getitem__, self.words_of
+        own = [(word(" " + key),) if isinstance(key, str) and key.isalpha() else tuple(map(word, words_of(" " + key if isinstance(key, str) else key[0]))) for key in seen]
+        ids = self.word_ids(list(words))
+        pieces = self.pieces
+        plain = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
+        raw = [ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for w in own]
+        text = [plain[w[0]] if len(w) == 1 else b"".join([plain[x] for x in w]) for w in own]
+        for c in chunks:
+            c = c if isinstance(c, list) else c.tolist()
+            yield b"".join([raw[k] for k in c]), b"".join([text[k] for k in c])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -166,65 +236,42 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     Returns id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), decoded (binary), a row for each input row.
     A null or empty text has no tokens; repeated rows and null ids stay; other columns, whatever their names, are left out.
-    The rank table is bounded by the vocabulary; a block holds at most ``block_bytes`` of text or one text.
+    One stage without a shuffle: a task holds a block of at most ``block_bytes`` characters, or one text, and a rank table as
+    large as the vocabulary.
     """
     ranks = load_ranks(ranks_path)
     table = rank_table(ranks)
-    pieces: list[bytes] = [b""] * (max(ranks.values()) + 1)
-    for token, rank in ranks.items():
-        pieces[rank] = token
+    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
-    ints, bigints = pa.list_(pa.int32()), pa.list_(pa.int64())
-    schema = pa.schema([("doc_ids", bigints), ("n_chunks", ints), ("chunks", pa.binary()), ("chunk_words", pa.list_(ints)), ("finished", pa.list_(ints)), ("words", pa.list_(ints)), ("ranks", bigints)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(pattern, ranks, table)
+        gc.disable()  # nothing here is cyclic, and its passes over the dictionaries take a fifth of the time
+
+        def finish(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
+            rows, held = [], 0
+            for i, (raw, plain) in zip(ids, encoder.block(texts), strict=True):
+                rows.append((i, len(raw) // 4, raw, plain))
+                held += len(raw) + len(plain)
+                if held > 8 << 20:
+                    yield batch_of(rows, out)
+                    rows, held = [], 0
+            if rows:
+                yield batch_of(rows, out)
 
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter(pattern, ranks, table)
         ids, texts, size = [], [], 0
-        flat = lambda b: pa.RecordBatch.from_arrays([pa.array([b[f.name]], f.type) for f in schema], schema=schema)
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids.append(i)
                 texts.append(t or "")
                 size += len(t or "")
                 if size >= block_bytes:
-                    yield flat(cutter.block(ids, texts))
+                    yield from finish(ids, texts)
                     ids, texts, size = [], [], 0
         if ids:
-            yield flat(cutter.block(ids, texts))
+            yield from finish(ids, texts)
 
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
-
-    def give_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                cell = {name: batch.column(k)[row] for k, name in enumerate(batch.schema.names)}
-                raw, plain, sizes = [], [], []
-                merged, finished = cell["merged"].values, cell["finished"].values
-                words = [m.values.to_numpy() if m.is_valid else f.values.to_numpy() for m, f in zip(merged, finished, strict=True)]
-                word_raw = [w.astype("<u4").tobytes() for w in words]
-                word_plain = [b"".join([pieces[i] for i in w.tolist()]) for w in words]
-                for own in cell["chunk_words"].values.to_pylist():
-                    raw.append(b"".join([word_raw[w] for w in own]))
-                    plain.append(b"".join([word_plain[w] for w in own]))
-                    sizes.append(len(raw[-1]) // 4)
-                chunks = np.frombuffer(cell["chunks"].as_py(), np.int32)
-                at, rows, held = 0, [], 0
-                for i, n in zip(cell["doc_ids"].values.to_pylist(), cell["n_chunks"].values.to_pylist(), strict=True):
-                    own = chunks[at : at + n].tolist()
-                    at += n
-                    ids = b"".join([raw[c] for c in own])
-                    rows.append((i, len(ids) // 4, ids, b"".join([plain[c] for c in own])))
-                    held += len(ids) + len(rows[-1][3])
-                    if held > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-                        rows, held = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-    blocks = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(gather, BLOCK)
-    merged = F.transform("words", lambda w: F.when(w.isNotNull(), fold_merges(w, F.col("ranks"))))
-    folded = blocks.select("doc_ids", "n_chunks", "chunks", "chunk_words", "finished", merged.alias("merged"))
-    return folded.mapInArrow(give_back, "id bigint, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n_tokens bigint, ids binary, decoded binary")
+    return rows.withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -239,14 +286,8 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str =
             yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(own, pa.binary())], names=[n for n, _ in kept] + [out_col])
 
     kept = [f for f in df.schema if f.name != out_col]
-    from pyspark.sql import types as T
-
     return df.mapInArrow(join, T.StructType([*kept, T.StructField(out_col, T.BinaryType())]))
 
 
 def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
-
-
-def sha256(raw: bytes) -> str:
-    return hashlib.sha256(raw).hexdigest()

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,3 +42,8 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def words_column(text) -> F.Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text column as an array; null and empty texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+
+
+def batch_of(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
