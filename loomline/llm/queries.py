@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality, rules
+from . import bpe, mixing, quality, rules, simhash
 from .common import read
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     return quality.score(docs, quality.fit(docs, labels))
@@ -24,12 +28,19 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_rules": op8_rules,
+    "op9_mixing": op9_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_rules": rules.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }
