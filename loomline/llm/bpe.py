@@ -27,7 +27,7 @@ NONE = 2**31 - 1
 HALF, OTHER, RANK_BITS = 402653, 389171, 17
 #: Words of more bytes are merged with a heap, as a fold takes time with the square of a word's length.
 FOLD_BYTES = 48
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
