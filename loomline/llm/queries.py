@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, mixing, quality, rules, simhash
+from . import bpe, chat, mixing, quality, rules, sharding, simhash, warc
 from .common import read
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(read(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -17,6 +21,15 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, labels))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(own)
+    return chat.digests(turns, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -32,15 +45,24 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
+    "op6_chat": op6_chat,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_rules": op8_rules,
     "op9_mixing": op9_mixing,
+    "op10_warc": op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_sharding": sharding.ORACLE_SQL,
     "op8_rules": rules.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
