@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, quality, rules, sharding, simhash, warc
+from . import bpe, chat, digest, html_text, mixing, quality, rules, sharding, simhash, warc
 from .common import read
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read(spark, sf_dir, "pages"))
+
+
+def op2_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -50,6 +58,8 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html": op1_html,
+    "op2_digest": op2_digest,
     "op3_sharding": op3_sharding,
     "op4_simhash": op4_simhash,
     "op5_quality": op5_quality,
