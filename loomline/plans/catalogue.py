@@ -1,10 +1,560 @@
-"""Every query of the engine's own operators over the driver's tables, with the same query in SQL."""
+"""Every query of the engine's own operators over the driver's tables, with the same query in SQL.
+
+Claims are derived from the tables: a supplier is a source, a part a coded item, the flags of a line item its attributes.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from loomline.functions import codes, temporal
+from loomline.operators import cluster, history, ledger, slots, survivorship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+ORDER = [F.col("day"), F.col("l_orderkey"), F.col("l_linenumber")]
+
+
+def claims(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "lineitem")
+    fields = F.explode(F.array(F.struct(F.lit("returnflag").alias("field"), F.col("l_returnflag").alias("value")), F.struct(F.lit("linestatus").alias("field"), F.col("l_linestatus").alias("value"))))
+    return rows.select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", fields.alias("f")).select("source", "code", "day", "l_orderkey", "l_linenumber", "f.*")
+
+
+CLAIMS = """claims AS (SELECT l_suppkey AS source, l_partkey AS code, l_shipdate::DATE AS day, l_orderkey, l_linenumber, f.field, f.value FROM
+  (SELECT *, unnest([{'field': 'returnflag', 'value': l_returnflag}, {'field': 'linestatus', 'value': l_linestatus}]) AS f FROM lineitem))"""
+
+
+def current(spark: SparkSession, d: str) -> DataFrame:
+    return slots.current(claims(spark, d), ["source", "code", "field"], ORDER)
+
+
+CURRENT = CLAIMS + ",\ncurrent AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY source, code, field ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC) = 1)"
+
+
+def priority(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers are tiered by region, for returnflag; every other dimension goes by nation."""
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    own = s.select(F.lit("returnflag").alias("dimension"), F.col("s_suppkey").alias("source"), F.col("n_regionkey").alias("rank"))
+    return own.union(s.where("s_acctbal > 0").select(F.lit("*"), F.col("s_suppkey"), F.col("n_nationkey")))
+
+
+PRIORITY = """prio AS (SELECT 'returnflag' AS dimension, s_suppkey AS source, n_regionkey AS rank FROM supplier JOIN nation ON s_nationkey = n_nationkey
+  UNION ALL SELECT '*', s_suppkey, n_nationkey FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 0)"""
+RANKED = CURRENT + ",\n" + PRIORITY + """,
+ranked AS (SELECT c.*, coalesce(p.rank, 2147483647) AS rank FROM current c LEFT JOIN prio p ON p.source = c.source AND p.dimension = CASE WHEN c.field = 'returnflag' THEN 'returnflag' ELSE '*' END)"""
+DECIDED = RANKED + """,
+top AS (SELECT *, min(rank) OVER (PARTITION BY code, field) AS best FROM ranked),
+decided AS (SELECT code, field, count(DISTINCT value) FILTER (rank = best) > 1 AS tie, arg_min(value, (rank, source)) AS value, arg_min(source, (rank, source)) AS winner,
+  string_agg(source || '=' || value, ',' ORDER BY rank, source, value) AS candidates FROM top GROUP BY code, field)"""
+
+
+def decisions(spark: SparkSession, d: str) -> DataFrame:
+    return survivorship.decide(survivorship.ranked(current(spark, d), priority(spark, d)), ["code", "field"])
+
+
+@query("WITH " + DECIDED + "\nSELECT code, field, CASE WHEN NOT tie THEN value END AS value, CASE WHEN NOT tie THEN winner END AS winner, CASE WHEN tie THEN 'needs_review' ELSE 'resolved' END AS status FROM decided")
+def survivorship_decisions(spark, d):
+    return decisions(spark, d).drop("candidates")
+
+
+@query("WITH " + DECIDED + "\nSELECT code, field, candidates FROM decided")
+def survivorship_candidates(spark, d):
+    said = F.transform("candidates", lambda x: F.concat_ws("=", x["source"].cast("string"), x["value"]))
+    return decisions(spark, d).select("code", "field", F.array_join(said, ",").alias("candidates"))
+
+
+@query("WITH " + RANKED + "\nSELECT field, rank, count(*) AS n FROM ranked GROUP BY field, rank")
+def priority_rank(spark, d):
+    return survivorship.ranked(current(spark, d), priority(spark, d)).groupBy("field", "rank").agg(F.count("*").alias("n"))
+
+
+@query("WITH " + CURRENT + """,
+r AS (SELECT c.code, c.field, c.source, c.value, (-floor(s_acctbal)::BIGINT * 1000000 + s_suppkey) AS rank FROM current c JOIN supplier ON s_suppkey = c.source)
+SELECT code, field, arg_min(value, rank) AS value, arg_min(source, rank) AS winner FROM r GROUP BY code, field""")
+def injected_rank(spark, d):
+    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("source"), "s_acctbal")
+    entries = current(spark, d).join(s, "source").withColumn("rank", survivorship.score_rank(F.floor("s_acctbal"), F.col("source")))
+    return survivorship.decide(entries, ["code", "field"]).select("code", "field", "value", "winner")
+
+
+@query("WITH " + RANKED + """, off AS (SELECT code, field, arg_min(value, (rank, source)) AS v FROM ranked GROUP BY ALL),
+pen AS (SELECT code, field, arg_min(value, (rank + CASE WHEN source % 5 = 0 THEN 1 ELSE 0 END, source)) AS v FROM ranked WHERE rank < 2147483647 GROUP BY ALL)
+SELECT code, field, off.v AS without_penalty, pen.v AS with_penalty FROM off JOIN pen USING (code, field) WHERE off.v <> pen.v""")
+def policy_flips(spark, d):
+    r = survivorship.ranked(current(spark, d), priority(spark, d))
+    off = r.groupBy("code", "field").agg(F.min_by("value", F.struct("rank", "source")).alias("without_penalty"))
+    on = r.where(F.col("rank") < survivorship.UNRANKED).groupBy("code", "field").agg(F.min_by("value", F.struct(F.col("rank") + F.when(F.col("source") % 5 == 0, 1).otherwise(0), "source")).alias("with_penalty"))
+    return off.join(on, ["code", "field"]).where("without_penalty <> with_penalty")
+
+
+@query("WITH " + CURRENT + "\nSELECT source, code, field, value, day FROM current")
+def slot_current(spark, d):
+    return current(spark, d).select("source", "code", "field", "value", "day")
+
+
+@query("WITH " + CLAIMS + """, old AS (SELECT source, code, field, value FROM claims WHERE day < DATE '1997-01-01'
+  QUALIFY row_number() OVER (PARTITION BY source, code, field ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC) = 1),
+f AS (SELECT * FROM claims WHERE day >= DATE '1997-01-01' QUALIFY row_number() OVER (PARTITION BY source, code, field, value ORDER BY day, l_orderkey, l_linenumber) = 1),
+l AS (SELECT f.*, coalesce(lag(f.value) OVER (PARTITION BY f.source, f.code, f.field ORDER BY f.day, f.l_orderkey, f.l_linenumber), old.value) AS before FROM f LEFT JOIN old USING (source, code, field))
+SELECT source, code, field, value, day FROM l WHERE value IS DISTINCT FROM before""")
+def slot_winnow(spark, d):
+    c = claims(spark, d)
+    old = slots.current(c.where("day < DATE '1997-01-01'"), ["source", "code", "field"], ORDER)
+    return slots.winnowed(c.where("day >= DATE '1997-01-01'"), old, ["source", "code", "field"], "value", ORDER).select("source", "code", "field", "value", "day")
+
+
+@query("WITH " + CURRENT + "\nSELECT field, value, count(*) AS kept, (SELECT count(*) FROM claims c WHERE c.field = current.field) - 0 AS claims FROM current GROUP BY field, value")
+def slot_compaction(spark, d):
+    kept = current(spark, d).groupBy("field", "value").agg(F.count("*").alias("kept"))
+    return kept.join(F.broadcast(claims(spark, d).groupBy("field").agg(F.count("*").alias("claims"))), "field")
+
+
+@query("WITH " + DECIDED + "\nSELECT code, field FROM decided WHERE tie")
+def attribute_ties(spark, d):
+    return decisions(spark, d).where("status = 'needs_review'").select("code", "field")
+
+
+GROUPED = "g AS (SELECT l_partkey AS code, l_suppkey AS source, arg_max(l_orderkey % 3, (l_shipdate, l_orderkey, l_linenumber)) AS value FROM lineitem GROUP BY ALL)"
+
+
+def groupings(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("source"), (F.col("l_orderkey") % 3).alias("value"), F.col("l_shipdate").alias("day"), "l_orderkey", "l_linenumber")
+    return survivorship.latest_per_source(rows, ["code"], ORDER)
+
+
+@query(f"WITH {GROUPED}, r AS (SELECT *, source % 4 AS rank, min(source % 4) OVER (PARTITION BY code) AS best FROM g) "
+       "SELECT code, count(DISTINCT value) > 1 AS contested, CASE WHEN count(DISTINCT value) FILTER (rank = best) = 1 THEN min(value) FILTER (rank = best) END AS product FROM r GROUP BY code")
+def product_decision(spark, d):
+    ranked = groupings(spark, d).withColumn("rank", F.col("source") % 4)
+    return survivorship.product_decision(ranked, ["code"]).select("code", "contested", F.col("value").alias("product"))
+
+
+@query(f"WITH {GROUPED} SELECT code, count(DISTINCT value) AS products FROM g GROUP BY code HAVING count(DISTINCT value) > 1")
+def code_collisions(spark, d):
+    return groupings(spark, d).groupBy("code").agg(F.countDistinct("value").alias("products")).where("products > 1")
+
+
+@query("""WITH o AS (SELECT DISTINCT l_partkey AS code, l_suppkey AS source FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
+n AS (SELECT DISTINCT l_partkey AS code, l_suppkey AS source FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')
+SELECT o.code, o.source FROM o ANTI JOIN n USING (code, source) WHERE o.code IN (SELECT code FROM n)""")
+def withdrawals(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("source"), (F.col("l_shipdate") < "1997-01-01").alias("old")).distinct()
+    old, new = rows.where("old").drop("old"), rows.where("NOT old").drop("old")
+    return old.join(new, ["code", "source"], "left_anti").join(new.select("code"), "code", "left_semi")
+
+
+# Codes: made from part keys.
+SCHEMES = ("ean", "upc", "gtin", "pzn", "cip_acl7", "cnk", "mpn", "uuid", "cas", "acl13", "text_id", "asset_id")
+
+
+def coded(spark, d) -> DataFrame:
+    k = F.col("p_partkey")
+    scheme = F.element_at(F.array(*map(F.lit, SCHEMES)), (k % len(SCHEMES)).cast("int") + 1)
+    value = F.when(k % 3 == 0, F.concat(F.lit(" "), F.lpad(F.col("p_partkey").cast("string"), 13, "0"), F.lit("\t"))).when(k % 3 == 1, F.lpad((k * 7919).cast("string"), 12, "2")).otherwise(k.cast("string"))
+    return table(spark, d, "part").select("p_partkey", scheme.alias("scheme"), value.alias("value")).withColumn("c", codes.canonical(F.col("scheme"), F.col("value")))
+
+
+CODED = (
+    "raw AS (SELECT p_partkey, ['" + "','".join(SCHEMES) + f"'][(p_partkey % {len(SCHEMES)} + 1)::INT] AS scheme, CASE WHEN p_partkey % 3 = 0 THEN ' ' || lpad(p_partkey::VARCHAR, 13, '0') || chr(9) "
+    """WHEN p_partkey % 3 = 1 THEN lpad((p_partkey * 7919)::VARCHAR, 12, '2') ELSE p_partkey::VARCHAR END AS value FROM part),
+t AS (SELECT *, trim(value, ' ' || chr(9)) AS v FROM raw),
+c AS (SELECT *, scheme IN ('gtin', 'ean', 'upc') AND regexp_full_match(v, '[0-9]+') AND length(v) IN (8, 12, 13, 14) AS g,
+  CASE scheme WHEN 'pzn' THEN 8 WHEN 'cip_acl7' THEN 7 ELSE 0 END AS w FROM t),
+coded AS (SELECT p_partkey, scheme AS raw_scheme, CASE WHEN g THEN 'gtin' ELSE scheme END AS scheme, CASE WHEN g THEN lpad(v, 14, '0') WHEN length(v) < w AND regexp_full_match(v, '[0-9]+') THEN lpad(v, w, '0') ELSE v END AS value FROM c)"""
+)
+SHAPED = "scheme = 'gtin' AND regexp_full_match(value, '[0-9]{14}')"
+RESTRICTED = f"({SHAPED} AND (substr(value, 2, 2) = '02' OR substr(value, 2, 2) BETWEEN '20' AND '29'))"
+SUM13 = "list_sum(list_transform(range(1, 14), lambda i: substr(value, i::INT, 1)::INT * CASE WHEN i % 2 = 1 THEN 3 ELSE 1 END))"
+
+
+@query(f"WITH {CODED} SELECT p_partkey, scheme, value FROM coded")
+def gtin_canonicalize(spark, d):
+    return coded(spark, d).select("p_partkey", "c.scheme", "c.value")
+
+
+@query(f"WITH {CODED} SELECT p_partkey, ({SHAPED} AND (10 - {SUM13} % 10) % 10 = substr(value, 14, 1)::INT) AS valid FROM coded WHERE {SHAPED} "
+       f"UNION ALL SELECT p_partkey, FALSE FROM coded WHERE NOT ({SHAPED})")
+def gtin_check_digit(spark, d):
+    return coded(spark, d).select("p_partkey", codes.valid_gtin(F.col("c")).alias("valid"))
+
+
+@query(f"WITH {CODED} SELECT p_partkey, CASE WHEN {SHAPED} THEN substr(value, 1, 1)::INT END AS indicator, {RESTRICTED} AS restricted FROM coded")
+def gtin_indicator_restricted(spark, d):
+    return coded(spark, d).select("p_partkey", codes.indicator(F.col("c")).alias("indicator"), codes.restricted(F.col("c")).alias("restricted"))
+
+
+@query(f"WITH {CODED} SELECT scheme, CASE WHEN scheme IN ('cnk', 'pzn', 'cip_acl7') THEN 'national' WHEN scheme IN ('gtin', 'acl13') THEN 'barcode' ELSE 'none' END AS grade, "
+       f"count_if(scheme = 'mpn' OR {RESTRICTED}) AS never_bridge, count(*) AS n FROM coded GROUP BY ALL")
+def bridge_grade(spark, d):
+    own = coded(spark, d)
+    return own.groupBy(F.col("c.scheme").alias("scheme"), codes.bridge_grade(F.col("c.scheme")).alias("grade")).agg(F.count_if(codes.never_bridges(F.col("c"))).alias("never_bridge"), F.count("*").alias("n"))
+
+
+@query(f"""WITH {CODED} SELECT raw_scheme AS scheme, CASE raw_scheme WHEN 'uuid' THEN 'any' WHEN 'cas' THEN 'substance' WHEN 'text_id' THEN 'description' WHEN 'asset_id' THEN 'media' ELSE 'product' END AS lane,
+CASE raw_scheme WHEN 'cas' THEN 'SUB' WHEN 'text_id' THEN 'DSC' WHEN 'asset_id' THEN 'MED' WHEN 'uuid' THEN NULL ELSE 'SK' END AS prefix, count(*) AS n FROM coded GROUP BY ALL""")
+def lane_routing(spark, d):
+    lane = codes.lane(F.col("scheme"))
+    prefix = F.coalesce(*[F.when(lane == k, F.lit(v)) for k, v in codes.KEY_PREFIX.items()])
+    return coded(spark, d).groupBy("scheme", F.coalesce(lane, F.lit("any")).alias("lane"), prefix.alias("prefix")).agg(F.count("*").alias("n"))
+
+
+@query("""WITH r AS (SELECT p_partkey, ['contains', 'describes', 'depicts', 'member_of', 'suppress', 'unknown'][(p_partkey % 6 + 1)::INT] AS relation,
+['product', 'description', 'media', 'substance'][(p_partkey // 6 % 4 + 1)::INT] AS a, ['product', 'substance', 'media', 'any'][(p_partkey // 24 % 4 + 1)::INT] AS b FROM part)
+SELECT p_partkey, relation, CASE relation WHEN 'contains' THEN a = 'product' AND b IN ('substance', 'any') WHEN 'describes' THEN a = 'description' AND b <> 'media' WHEN 'depicts' THEN a = 'media' AND b <> 'media'
+WHEN 'member_of' THEN a = 'product' WHEN 'suppress' THEN a = 'description' AND b IN ('product', 'any') ELSE FALSE END AS ok FROM r""")
+def relation_signature(spark, d):
+    pick = lambda values, k: F.element_at(F.array(*map(F.lit, values)), (k % len(values)).cast("int") + 1)
+    k = F.col("p_partkey")
+    rows = table(spark, d, "part").select("p_partkey", pick(("contains", "describes", "depicts", "member_of", "suppress", "unknown"), k).alias("relation"), pick(("cnk", "text_id", "asset_id", "cas"), F.floor(k / 6)).alias("a"), pick(("ean", "unii", "leaflet_id", "uuid"), F.floor(k / 24)).alias("b"))
+    return rows.select("p_partkey", "relation", codes.signature_ok(F.col("relation"), F.col("a"), F.col("b")).alias("ok"))
+
+
+@query("""WITH b AS (SELECT p_partkey, lpad((p_partkey * 37)::VARCHAR, 9, '0') AS s FROM part),
+k AS (SELECT *, list_sum(list_transform(range(1, 10), lambda i: substr(s, i::INT, 1)::INT * (11 - i))) AS t FROM b),
+x AS (SELECT *, CASE WHEN p_partkey % 3 = 0 THEN 'X' ELSE (p_partkey % 10)::VARCHAR END AS last FROM k),
+e AS (SELECT *, '978' || s AS v, (t + CASE WHEN last = 'X' THEN 10 ELSE last::INT END) % 11 = 0 AS ok FROM x)
+SELECT p_partkey, CASE WHEN ok THEN v || ((10 - list_sum(list_transform(range(1, 13), lambda i: substr(v, i::INT, 1)::INT * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10) % 10)::BIGINT::VARCHAR END AS isbn13 FROM e""")
+def isbn10_to_13(spark, d):
+    body = F.lpad((F.col("p_partkey") * 37).cast("string"), 9, "0")
+    raw = F.concat(F.substring(body, 1, 1), F.lit("-"), F.substring(body, 2, 8), F.lit(" "), F.when(F.col("p_partkey") % 3 == 0, "x").otherwise((F.col("p_partkey") % 10).cast("string")))
+    return table(spark, d, "part").select("p_partkey", codes.isbn13(raw).alias("isbn13"))
+
+
+@query("""WITH b AS (SELECT p_partkey, lpad((p_partkey * 611)::VARCHAR, 7, '0') AS s FROM part)
+SELECT p_partkey, CASE WHEN length(s) = 7 THEN (10 - list_sum(list_transform(range(1, 7), lambda i: CASE WHEN i % 2 = 0 THEN substr(s, i::INT, 1)::INT * 2 // 10 + substr(s, i::INT, 1)::INT * 2 % 10 ELSE substr(s, i::INT, 1)::INT END)) % 10) % 10 = substr(s, 7, 1)::INT END AS valid FROM b""")
+def cnk_check(spark, d):
+    value = F.when(F.length((F.col("p_partkey") * 611).cast("string")) <= 7, F.lpad((F.col("p_partkey") * 611).cast("string"), 7, "0")).otherwise("")
+    return table(spark, d, "part").select("p_partkey", codes.cnk_valid(value).alias("valid"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN (p_size * 1000)::BIGINT::VARCHAR WHEN 1 THEN p_size::VARCHAR WHEN 2 THEN p_size::VARCHAR || '_stone' ELSE (p_size * 10 + 5)::VARCHAR END AS value FROM part""")
+def quantity_normalize(spark, d):
+    size = F.col("p_size").cast("string")
+    which = F.col("p_partkey") % 4
+    field = F.when(which == 3, "width").otherwise("weight")
+    value = F.when(which == 0, F.concat(size, F.lit("_kg"))).when(which == 1, F.concat(size, F.lit("_g"))).when(which == 2, F.concat(size, F.lit("_stone"))).otherwise(F.concat(size, F.lit(".5_cm")))
+    return table(spark, d, "part").select("p_partkey", codes.quantity(field, value).alias("value"))
+
+
+# Catalog: parts contain suppliers' substances, nations describe suppliers.
+CONTAINS = "contains AS (SELECT DISTINCT l_partkey AS product, l_suppkey AS substance FROM lineitem WHERE l_quantity >= 40)"
+
+
+def contains(spark, d) -> DataFrame:
+    return table(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("substance")).distinct()
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce('SK_' || c_custkey, 'o:' || l_orderkey) AS owner FROM lineitem LEFT JOIN customer ON c_custkey = l_orderkey AND c_acctbal > 0""")
+def owner_fallback_join(spark, d):
+    owned = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("l_orderkey"), F.concat(F.lit("SK_"), "c_custkey").alias("key"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return rows.join(owned, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("key", F.concat(F.lit("o:"), "l_orderkey")).alias("owner"))
+
+
+@query(f"WITH {CONTAINS} SELECT product, string_agg(substance, ',' ORDER BY substance) AS substances FROM contains GROUP BY product")
+def substances(spark, d):
+    return contains(spark, d).groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("substance")).cast("array<string>"), ",").alias("substances"))
+
+
+@query(f"""WITH {CONTAINS} SELECT DISTINCT product, s_nationkey AS description FROM contains JOIN supplier ON s_suppkey = substance
+WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = product AND p_size % 7 = s_nationkey % 7)""")
+def descriptions_two_hop_suppress(spark, d):
+    describes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("substance"), F.col("s_nationkey").alias("description"))
+    hidden = table(spark, d, "part").select(F.col("p_partkey").alias("product"), (F.col("p_size") % 7).alias("h"))
+    return contains(spark, d).join(describes, "substance").select("product", "description").distinct().withColumn("h", F.col("description") % 7).join(hidden, ["product", "h"], "left_anti").select("product", "description")
+
+
+@query("""SELECT source AS target, md5(coalesce(text, '')) AS asset, min(doc_id) AS doc_id FROM documents GROUP BY source, md5(coalesce(text, ''))""")
+def media_dedup(spark, d):
+    asset = F.md5(F.coalesce("text", F.lit("")))
+    return table(spark, d, "documents").groupBy(F.col("source").alias("target"), asset.alias("asset")).agg(F.min("doc_id").alias("doc_id"))
+
+
+@query("SELECT l_partkey AS product, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS categories FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY l_partkey")
+def categories(spark, d):
+    rows = table(spark, d, "lineitem").join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("l_suppkey")).join(table(spark, d, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    return rows.groupBy(F.col("l_partkey").alias("product")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("categories"))
+
+
+@query("WITH " + DECIDED + """\nSELECT code % 50 AS product, string_agg(code || ':' || field || ':' || CASE WHEN tie THEN '?' ELSE value END, ',' ORDER BY code, field) AS variants FROM decided GROUP BY code % 50""")
+def golden_variants(spark, d):
+    one = F.struct("code", "field", F.concat_ws(":", F.col("code").cast("string"), "field", F.coalesce("value", F.lit("?"))).alias("s"))
+    rows = decisions(spark, d).groupBy((F.col("code") % 50).alias("product")).agg(F.sort_array(F.collect_list(one)).alias("v"))
+    return rows.select("product", F.array_join(F.transform("v", lambda x: x["s"]), ",").alias("variants"))
+
+
+# Identity resolution.
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, x) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.x)
+SELECT node, min(x) AS component FROM r GROUP BY node""")
+def listing_components(spark, d):
+    e = table(spark, d, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
+    return cluster.components(e.distinct())
+
+
+def listings(spark, d) -> DataFrame:
+    rows = table(spark, d, "lineitem").where("l_quantity >= 48 AND l_returnflag = 'R'")
+    gtin, cnk = F.struct(F.lit("gtin").alias("scheme"), F.lpad(F.col("l_partkey").cast("string"), 14, "0").alias("value")), F.struct(F.lit("cnk").alias("scheme"), (F.col("l_suppkey") % 40).cast("string").alias("value"))
+    own = F.when(F.col("l_linenumber") % 2 == 0, F.array(gtin, cnk)).otherwise(F.array(gtin))
+    return rows.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("listing"), F.explode(own).alias("c")).select("listing", "c.*")
+
+
+@query(None)
+def guarded_clusters(spark, d):
+    return cluster.guarded(listings(spark, d))
+
+
+CLUSTERS = """clusters AS (SELECT DISTINCT l_orderkey AS cluster, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') AS code, 'cnk' AS scheme, TRUE AS bridges FROM lineitem WHERE l_quantity >= 49 AND l_shipdate >= TIMESTAMP '1997-01-01'),
+members AS (SELECT DISTINCT 'SK_' || l_suppkey AS key, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') AS code FROM lineitem WHERE l_quantity >= 49 AND l_shipdate < TIMESTAMP '1997-01-01'),
+held AS (SELECT code FROM clusters GROUP BY code HAVING count(DISTINCT cluster) > 1),
+met AS (SELECT DISTINCT cluster, key FROM clusters JOIN members USING (code) WHERE code NOT IN (SELECT code FROM held)),
+cand AS (SELECT cluster, min(code) AS least, coalesce(list_sort(list(DISTINCT key) FILTER (key IS NOT NULL)), []) AS keys FROM clusters LEFT JOIN met USING (cluster) GROUP BY cluster),
+one AS (SELECT cluster, keys[1] AS key FROM cand WHERE len(keys) = 1),
+rk AS (SELECT one.*, count_if(m.code IS NOT NULL) AS kept, count(*) AS own, list_sort(list(c.code)) AS codes FROM one JOIN clusters c USING (cluster) LEFT JOIN members m ON m.key = one.key AND m.code = c.code GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY kept DESC, own DESC, codes, cluster) AS place FROM rk),
+nm AS (SELECT count(*) AS n FROM cand WHERE len(keys) = 0)"""
+
+
+def clusters_and_members(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "lineitem").where("l_quantity >= 49").withColumn("code", F.concat(F.lit("cnk:"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")))
+    new = rows.where(F.col("l_shipdate") >= "1997-01-01").select(F.col("l_orderkey").alias("cluster"), "code", F.lit("cnk").alias("scheme"), F.lit(True).alias("bridges")).distinct()
+    return new, rows.where(F.col("l_shipdate") < "1997-01-01").select(F.concat(F.lit("SK_"), "l_suppkey").alias("key"), "code").distinct()
+
+
+@query(f"""WITH {CLUSTERS},
+names AS (SELECT cluster, 'mint' AS action, 'SK_' || (row_number() OVER (ORDER BY least, cluster) + 9999) AS key, keys FROM cand WHERE len(keys) = 0
+  UNION ALL SELECT cluster, 'keep', key, [key] FROM pl WHERE place = 1
+  UNION ALL SELECT cluster, 'split', 'SK_' || (row_number() OVER (ORDER BY key, codes, cluster) + (SELECT n FROM nm) + 9999), [key] FROM pl WHERE place > 1),
+across AS (SELECT code, list(DISTINCT key) AS keys FROM names JOIN clusters USING (cluster) WHERE code IN (SELECT code FROM held) GROUP BY code HAVING count(DISTINCT key) > 1),
+touched AS (SELECT key FROM pl UNION SELECT unnest(keys) FROM cand WHERE len(keys) > 1 UNION SELECT unnest(keys) FROM across),
+al AS (SELECT * FROM names UNION ALL SELECT cluster, 'propose', NULL, keys FROM cand WHERE len(keys) > 1
+  UNION ALL SELECT DISTINCT NULL::BIGINT, 'retract', key, [key] FROM members WHERE key NOT IN (SELECT key FROM touched))
+SELECT cluster, action, key, array_to_string(keys, ',') AS keys FROM al""")
+def reconcile(spark, d):
+    new, old = clusters_and_members(spark, d)
+    return ledger.reconcile(new, old, following=10_000).withColumn("keys", F.array_join("keys", ","))
+
+
+@query(f"WITH {CLUSTERS} SELECT cluster, key, place FROM pl")
+def keeper_rank(spark, d):
+    new, old = clusters_and_members(spark, d)
+    one = ledger.candidates(new, old).where(F.size("keys") == 1).select("cluster", F.col("keys")[0].alias("key"))
+    return ledger.keeper(new, old, one).select("cluster", "key", "place")
+
+
+@query(f"WITH {CLUSTERS} SELECT code, count(DISTINCT cluster) AS clusters FROM clusters GROUP BY code HAVING count(DISTINCT cluster) > 1")
+def held_code_conflicts(spark, d):
+    return ledger.held_codes(clusters_and_members(spark, d)[0])
+
+
+@query("""WITH b AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS code FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01' AND l_partkey % 2 = 0), a AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS code FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01')
+SELECT key, code FROM b ANTI JOIN a USING (key, code) WHERE key IN (SELECT key FROM a)""")
+def national_swaps(spark, d):
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("key"), F.when(F.col("l_partkey") % 2 == 0, "cnk").otherwise("gtin").alias("scheme"), F.col("l_partkey").alias("code"), (F.col("l_shipdate") < "1997-01-01").alias("old")).distinct()
+    return ledger.national_swaps(rows.where("old"), rows.where("NOT old"))
+
+
+MERGES = "m AS (SELECT 'SK_' || c_custkey AS key, 'SK_' || (c_custkey // 3) AS \"into\" FROM customer WHERE c_custkey >= 3)"
+
+
+@query(f"""WITH RECURSIVE {MERGES}, r(key, x, n) AS (SELECT key, "into", 1 FROM m UNION ALL SELECT r.key, m."into", n + 1 FROM r JOIN m ON m.key = r.x)
+SELECT key, arg_max(x, n) AS survivor FROM r GROUP BY key""")
+def redirect_closure(spark, d):
+    m = table(spark, d, "customer").where("c_custkey >= 3").select(F.concat(F.lit("SK_"), "c_custkey").alias("key"), F.concat(F.lit("SK_"), F.floor(F.col("c_custkey") / 3)).alias("into"))
+    return ledger.redirects(m)
+
+
+@query(f"""WITH RECURSIVE {MERGES}, r(key, x, n) AS (SELECT key, "into", 1 FROM m UNION ALL SELECT r.key, m."into", n + 1 FROM r JOIN m ON m.key = r.x)
+SELECT survivor, count(*) AS ancestors FROM (SELECT key, arg_max(x, n) AS survivor FROM r GROUP BY key) GROUP BY survivor""")
+def ancestors(spark, d):
+    return redirect_closure(spark, d).groupBy("survivor").agg(F.count("*").alias("ancestors"))
+
+
+# Events, periods and the two clocks.
+def user_events(spark, d) -> DataFrame:
+    return table(spark, d, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("at"), "event_type", "event_id", "value")
+
+
+@query("""WITH d AS (SELECT user_id, epoch(ts)::BIGINT // 86400 AS day, arg_max(event_type, (epoch(ts)::BIGINT, event_id)) AS state FROM events GROUP BY ALL),
+c AS (SELECT *, lag(state) OVER (PARTITION BY user_id ORDER BY day) AS before FROM d)
+SELECT user_id, state, day AS from_day, lead(day) OVER (PARTITION BY user_id ORDER BY day) AS to_day FROM c WHERE before IS DISTINCT FROM state""")
+def listing_periods(spark, d):
+    return history.set_periods(user_events(spark, d), "user_id", "at", "event_type", ["at", "event_id"])
+
+
+@query("""WITH f AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id, arg_max(event_type, event_id) OVER (PARTITION BY user_id, epoch(ts)::BIGINT) AS t FROM events WHERE event_id % 3 = 0),
+p AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id FROM events WHERE event_id % 3 = 1),
+g AS (SELECT DISTINCT user_id, sec, t FROM f)
+SELECT p.event_id, coalesce((SELECT arg_max(g.t, g.sec) FROM g WHERE g.user_id = p.user_id AND g.sec <= p.sec), (SELECT arg_min(g.t, g.sec) FROM g WHERE g.user_id = p.user_id)) AS anchor FROM p""")
+def anchor_asof(spark, d):
+    e = user_events(spark, d)
+    facts = e.where("event_id % 3 = 0").groupBy("user_id", "at").agg(F.max_by("event_type", "event_id").alias("anchor"))
+    return history.as_of(e.where("event_id % 3 = 1").select("user_id", "at", "event_id"), facts, "user_id", "at", "anchor").select("event_id", "anchor")
+
+
+@query(None)
+def identity_fold(spark, d):
+    op = F.element_at(F.array(*map(F.lit, ("set", "add", "add", "remove", "delete"))), (F.col("event_id") % 5).cast("int") + 1)
+    rows = user_events(spark, d).select(F.col("user_id").cast("string").alias("listing"), F.struct("at", "event_id").alias("k"), op.alias("op"), F.when(F.col("event_id") % 2 == 0, "cnk").otherwise("gtin").alias("scheme"), (F.col("event_id") % 7).cast("string").alias("code"), "at")
+    return history.code_set_periods(rows.withColumn("seq", F.row_number().over(W.partitionBy("listing").orderBy("k"))).drop("k"))
+
+
+def revisions(spark, d) -> DataFrame:
+    t = F.col("turn")
+    day = F.make_date(F.lit(2024), F.lit(1), F.lit(1))
+    return table(spark, d, "conversations").select("conv_id", "turn", "role", F.date_add(day, (t * 2).cast("int")).alias("recorded"), F.when(t % 3 == 0, F.date_add(day, t.cast("int"))).alias("valid_from"), F.when(t % 4 == 1, F.date_add(day, (t + 20).cast("int"))).alias("valid_to"))
+
+
+REVISIONS = """rev AS (SELECT conv_id, turn, role, (DATE '2024-01-01' + (turn * 2)::INT)::DATE AS recorded, CASE WHEN turn % 3 = 0 THEN (DATE '2024-01-01' + turn::INT)::DATE END AS valid_from,
+CASE WHEN turn % 4 = 1 THEN (DATE '2024-01-01' + (turn + 20)::INT)::DATE END AS valid_to FROM conversations)"""
+
+
+def both_clocks(known_at: Column, on: Column) -> Column:
+    return temporal.known(F.col("recorded"), known_at) & temporal.effective(F.col("recorded"), F.col("valid_from"), F.col("valid_to"), on)
+
+
+@query(f"""WITH {REVISIONS} SELECT conv_id, arg_max(turn, (recorded, turn)) AS turn, arg_max(role, (recorded, turn)) AS role FROM rev
+WHERE recorded <= DATE '2024-01-08' AND coalesce(valid_from, recorded) <= DATE '2024-01-07' AND (valid_to IS NULL OR DATE '2024-01-07' < valid_to) GROUP BY conv_id""")
+def bitemporal_select(spark, d):
+    found = both_clocks(F.lit("2024-01-08").cast("date"), F.lit("2024-01-07").cast("date"))
+    return history.selected(revisions(spark, d), ["conv_id"], found, [F.col("recorded"), F.col("turn")]).select("conv_id", "turn", "role")
+
+
+@query(f"""WITH {REVISIONS}, g AS (SELECT unnest([DATE '2024-01-03', DATE '2024-01-09', DATE '2024-02-01']) AS k), v AS (SELECT unnest([DATE '2024-01-02', DATE '2024-01-08', DATE '2024-01-24']) AS o)
+SELECT k AS known_at, o AS effective_at, count(*) AS records, sum(t)::BIGINT AS turns FROM (SELECT k, o, conv_id, arg_max(turn, (recorded, turn)) AS t FROM rev, g, v
+WHERE recorded <= k AND coalesce(valid_from, recorded) <= o AND (valid_to IS NULL OR o < valid_to) GROUP BY ALL) GROUP BY ALL""")
+def bitemporal_grid(spark, d):
+    clocks = lambda days, name: F.explode(F.array(*[F.lit(x).cast("date") for x in days])).alias(name)
+    rows = revisions(spark, d).select("*", clocks(("2024-01-03", "2024-01-09", "2024-02-01"), "known_at")).select("*", clocks(("2024-01-02", "2024-01-08", "2024-01-24"), "effective_at"))
+    last = history.selected(rows, ["known_at", "effective_at", "conv_id"], both_clocks(F.col("known_at"), F.col("effective_at")), [F.col("recorded"), F.col("turn")])
+    return last.groupBy("known_at", "effective_at").agg(F.count("*").alias("records"), F.sum("turn").alias("turns"))
+
+
+@query(None)
+def record_lifecycle(spark, d):
+    op = F.element_at(F.array(*map(F.lit, ("replace", "patch", "patch", "withdraw", "reactivate"))), (F.col("turn") % 5).cast("int") + 1)
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("ref"), F.col("turn").alias("seq"), op.alias("operation"), F.col("role").alias("field"), F.md5("text").alias("value"))
+    return history.lifecycle(rows).withColumn("fields", F.array_join("fields", ","))
+
+
+@query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 500")
+def change_feed(spark, d):
+    return table(spark, d, "events").where("event_id > 1000").select("event_id", "event_type", "user_id").orderBy("event_id").limit(500)
+
+
+@query("SELECT user_id, event_type, max(event_id) AS last_event, arg_max(value, event_id) AS last_value, count(*) AS n FROM events GROUP BY user_id, event_type")
+def state_fold(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.max("event_id").alias("last_event"), F.max_by("value", "event_id").alias("last_value"), F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT user_id, max(event_id) FILTER (event_type = (SELECT min(event_type) FROM events)) AS flagged, max(event_id) FILTER (event_type = (SELECT max(event_type) FROM events)) AS resolved FROM events GROUP BY user_id)
+SELECT user_id, flagged, resolved, flagged IS NOT NULL AND coalesce(flagged > resolved, TRUE) AS is_open FROM s""")
+def steward_queue(spark, d):
+    e = table(spark, d, "events")
+    ends = F.broadcast(e.agg(F.min("event_type").alias("a"), F.max("event_type").alias("z")))
+    s = e.join(ends).groupBy("user_id").agg(F.max(F.when(F.col("event_type") == F.col("a"), F.col("event_id"))).alias("flagged"), F.max(F.when(F.col("event_type") == F.col("z"), F.col("event_id"))).alias("resolved"))
+    return s.withColumn("is_open", F.col("flagged").isNotNull() & F.coalesce(F.col("flagged") > F.col("resolved"), F.lit(True)))
+
+
+# Legacy identities and reports.
+VOTES = "v AS (SELECT l_suppkey AS key, l_partkey % 20 AS entity, count(*) AS n FROM lineitem GROUP BY ALL)"
+
+
+@query(f"WITH {VOTES} SELECT key, arg_max(entity, (n, -entity)) AS legacy_id, max(n) AS votes FROM v GROUP BY key")
+def legacy_votes(spark, d):
+    v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 20).alias("entity")).agg(F.count("*").alias("n"))
+    return v.groupBy("key").agg(F.max_by("entity", F.struct("n", -F.col("entity"))).alias("legacy_id"), F.max("n").alias("votes"))
+
+
+@query(f"""WITH {VOTES}, b AS (SELECT key, arg_max(entity, (n, -entity)) AS id FROM v GROUP BY key), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY 'SK_' || key) AS k FROM b)
+SELECT key, CASE WHEN k = 1 THEN id ELSE 999 + row_number() OVER (PARTITION BY k = 1 ORDER BY 'SK_' || key) END AS legacy_id, k = 1 AS inherited FROM r""")
+def legacy_allocate(spark, d):
+    """One key, the least as a string, inherits an id; others get new ones above the floor."""
+    name = F.concat(F.lit("SK_"), F.col("key").cast("string"))
+    voted = legacy_votes(spark, d).withColumn("k", F.row_number().over(W.partitionBy("legacy_id").orderBy(name)))
+    new = voted.where("k > 1").select("key", (F.row_number().over(W.orderBy(name)) + 999).cast("bigint").alias("legacy_id"), F.lit(False).alias("inherited"))
+    return voted.where("k = 1").select("key", "legacy_id", F.lit(True).alias("inherited")).union(new)
+
+
+XREF = """x AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS entity FROM lineitem WHERE l_quantity = 50),
+ke AS (SELECT key, count(*) AS n FROM x GROUP BY key), ek AS (SELECT entity, count(*) AS n FROM x GROUP BY entity)"""
+
+
+@query(f"WITH {XREF} SELECT entity, CASE WHEN ek.n > 1 THEN 'split' WHEN max(ke.n) > 1 THEN 'merged' ELSE 'stable' END AS relation, min(key) AS \"primary\" FROM x JOIN ke USING (key) JOIN ek USING (entity) GROUP BY entity, ek.n")
+def xref_relation(spark, d):
+    x = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("entity")).distinct()
+    by_key = x.groupBy("key").agg(F.count("*").alias("entities"))
+    e = x.join(by_key, "key").groupBy("entity").agg(F.count("*").alias("keys"), F.max("entities").alias("most"), F.min("key").alias("primary"))
+    return e.select("entity", F.when(F.col("keys") > 1, "split").when(F.col("most") > 1, "merged").otherwise("stable").alias("relation"), "primary")
+
+
+@query(f"WITH {XREF} SELECT relation, count(*) AS n FROM (SELECT entity, CASE WHEN ek.n > 1 THEN 'split' WHEN max(ke.n) > 1 THEN 'merged' ELSE 'stable' END AS relation FROM x JOIN ke USING (key) JOIN ek USING (entity) GROUP BY entity, ek.n) GROUP BY relation")
+def migration_diff(spark, d):
+    return xref_relation(spark, d).groupBy("relation").agg(F.count("*").alias("n"))
+
+
+SNAPSHOTS = "WITH " + CLAIMS + """, a AS (SELECT code, field, arg_max(value, (day, l_orderkey, l_linenumber, source)) AS v FROM claims WHERE day < DATE '1997-01-01' AND code % 5 > 0 GROUP BY ALL),
+b AS (SELECT code, field, arg_max(value, (day, l_orderkey, l_linenumber, source)) AS v FROM claims WHERE day >= DATE '1997-01-01' AND code % 7 > 0 GROUP BY ALL)"""
+
+
+@query(SNAPSHOTS + "\nSELECT code, field, CASE WHEN b.v IS NULL THEN 'applier_only' WHEN a.v IS NULL THEN 'engine_only' WHEN a.v = b.v THEN 'match' ELSE 'value_mismatch' END AS verdict FROM a FULL JOIN b USING (code, field)")
+def parity_diff(spark, d):
+    c = claims(spark, d)
+    last = lambda rows, name: rows.groupBy("code", "field").agg(F.max_by("value", F.struct(*ORDER, "source")).alias(name))
+    a = last(c.where("day < DATE '1997-01-01' AND code % 5 > 0"), "a")
+    b = last(c.where("day >= DATE '1997-01-01' AND code % 7 > 0"), "b")
+    verdict = F.when(F.col("b").isNull(), "applier_only").when(F.col("a").isNull(), "engine_only").when(F.col("a") == F.col("b"), "match").otherwise("value_mismatch")
+    return a.join(b, ["code", "field"], "full").select("code", "field", verdict.alias("verdict"))
+
+
+@query(f"WITH {XREF} SELECT entity AS public_id, count(*) AS keys, min(key) AS canonical FROM x GROUP BY entity HAVING count(*) > 1")
+def id_collisions(spark, d):
+    x = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("public_id")).distinct()
+    return x.groupBy("public_id").agg(F.count("*").alias("keys"), F.min("key").alias("canonical")).where("keys > 1")
+
+
+@query("SELECT sha256(text) AS fingerprint, min(doc_id) AS doc_id, count(*) AS seen FROM documents GROUP BY sha256(text)")
+def fingerprint_dedup(spark, d):
+    return table(spark, d, "documents").groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("seen"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 2 = 1 AND sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+def idempotent_batch(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.sha2("text", 256).alias("fingerprint"))
+    return docs.where("doc_id % 2 = 1").join(docs.where("doc_id % 2 = 0"), "fingerprint", "left_anti").select("doc_id")
+
+
+@query("SELECT event_type, json_extract_string(props, '$.k') AS value, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY ALL")
+def field_census(spark, d):
+    return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("value")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query("SELECT l_partkey AS code, count(DISTINCT l_orderkey) AS entities FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")
+def code_collision_scan(spark, d):
+    return table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("code")).agg(F.countDistinct("l_orderkey").alias("entities")).where("entities > 1")
+
+
+@query("WITH " + DECIDED + "\nSELECT field, count(*) AS items, count_if(tie) AS needs_review, count(DISTINCT winner) FILTER (NOT tie) AS winners FROM decided GROUP BY field")
+def dry_run_counts(spark, d):
+    return decisions(spark, d).groupBy("field").agg(F.count("*").alias("items"), F.count_if(F.col("status") == "needs_review").alias("needs_review"), F.countDistinct("winner").alias("winners"))
