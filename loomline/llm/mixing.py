@@ -16,7 +16,7 @@ from .rules import SPACES, SYMBOLS
 #: Sources by code point weigh this, repeating; all sources share so many hundredths of all sizes; no source exceeds so many epochs.
 WEIGHTS, SHARE_PERCENT, MAX_EPOCHS, SEED = (3, 1, 2), 150, 2, "mix-1"
 #: Rows of a cell aimed at, and most cells of a source.
-CELL_ROWS, MAX_CELLS = 2000, 1 << 16
+CELL_ROWS, MAX_CELLS = 200, 1 << 20
 BROADCAST_SOURCES = 5000
 
 
