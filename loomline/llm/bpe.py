@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of
+from .common import batch_of, give_back, rows_of
 
 #: Fixed value: the rank that stands for "these two pieces do not merge".
 NONE = 2**31 - 1
@@ -27,7 +27,7 @@ NONE = 2**31 - 1
 HALF, OTHER, RANK_BITS = 402653, 389171, 17
 #: Words of more bytes are merged with a heap, as a fold takes time with the square of a word's length.
 FOLD_BYTES = 48
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -137,16 +137,16 @@ class Encoder:
         self.words_of = regex.compile(pattern).findall
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.ranks, self.table = ranks, table
-        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.pieces = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.pieces[rank] = token
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a << 16 | b
+        key = a.astype(np.int64) << 16 | b
         own, other = self.table[key % HALF], self.table[HALF + key % OTHER]
         low = (1 << RANK_BITS) - 1
-        return np.where(own >> RANK_BITS == key, own & low, np.where(other >> RANK_BITS == key, other & low, NONE))
+        return np.where(own >> RANK_BITS == key, own & low, np.where(other >> RANK_BITS == key, other & low, NONE)).astype(np.int32)
 
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of words of two bytes or more, as bytes. Words with equally many pieces are rows of one matrix; a step merges the
@@ -166,7 +166,7 @@ class Encoder:
                 continue
             at, m, r = (np.concatenate(x) for x in zip(*own, strict=True))
             p = r.argmin(1) if n > 1 else np.zeros(len(at), np.int64)
-            low = r[np.arange(len(at)), p] if n > 1 else np.full(len(at), NONE)
+            low = r[np.arange(len(at)), p] if n > 1 else np.full(len(at), NONE, np.int32)
             done = low == NONE
             raw = m[done].astype("<u4").tobytes()
             for i, k in enumerate(at[done].tolist()):
@@ -184,7 +184,7 @@ class Encoder:
                 i = rows[p < n - 2]
                 r[i, p[i]] = self.rank(low[i], m[i, p[i] + 1])
             else:
-                r = np.zeros((len(at), 0), np.int64)
+                r = np.zeros((len(at), 0), np.int32)
             left.setdefault(n - 1, []).append((at, m, r))
         return out
 
@@ -260,7 +260,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
         ids, texts, size = [], [], 0
         for batch in batches:
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, t in rows_of(batch):
                 ids.append(i)
                 texts.append(t or "")
                 size += len(t or "")
@@ -269,6 +269,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
                     ids, texts, size = [], [], 0
         if ids:
             yield from finish(ids, texts)
+        del ids, texts, encoder
+        give_back()
 
     rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n_tokens bigint, ids binary, decoded binary")
     return rows.withColumnRenamed("id", id_col)

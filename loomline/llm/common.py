@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +49,20 @@ def words_column(text) -> F.Column:
 def batch_of(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def rows_of(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
+    """The rows of a batch; only ``size`` of them are Python objects at a time."""
+    for at in range(0, batch.num_rows, size):
+        part = batch.slice(at, size)
+        yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that is used again would hold it while other stages need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        return

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, give_back, rows_of
 
 #: Documents that the model is fitted on, at most, and characters of them in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
@@ -24,7 +24,7 @@ SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
 BUCKETS, WIDTH, GRAMS = 1 << 18, 10, (3,)
 EPOCHS, RATE, SEED = 5, 0.6, 42
 #: Distinct words whose sums a task remembers.
-MEMO = 400_000
+MEMO = 300_000
 THRESHOLD = 0.3
 
 
@@ -152,7 +152,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            yield batch_of([(i, scorer(t or "")) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], schema)
+            yield batch_of([(i, scorer(t or "")) for i, t in rows_of(b)], schema)
+        del scorer
+        give_back()
 
     scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
@@ -165,7 +167,9 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
-            yield b.filter(pa.array([scorer(t or "") >= THRESHOLD for t in texts], pa.bool_()))
+            texts = rows_of(b.select([b.schema.get_field_index("text")]))
+            yield b.filter(pa.array([scorer(t or "") >= THRESHOLD for (t,) in texts], pa.bool_()))
+        del scorer
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
