@@ -36,7 +36,7 @@ OTHER = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog menu menubar form".split())
 #: Pages that share more of their lines than this are copies, and copies say nothing about boilerplate.
-COPY_SHARE = 0.5
+COPY_SHARE = 0.8
 #: Lines times lines of a pair that are aligned exactly; beyond, only lines that each page has once are.
 ALIGN_LIMIT = 1 << 30
 
