@@ -39,6 +39,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search alert dial
 COPY_SHARE = 0.8
 #: Lines times lines of a pair that are aligned exactly; beyond, only lines that each page has once are.
 ALIGN_LIMIT = 1 << 30
+#: Pages of a range at least, so that few lack a neighbour on either side.
+RANGE_PAGES = 64
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/<>]+)")
@@ -236,6 +238,6 @@ def extract(pages: DataFrame) -> DataFrame:
 
     whole = pages.select(F.col("page_id").cast("bigint"), F.col("url").cast("string"), "html")
     lines = materialize(whole.mapInArrow(split, "page_id bigint, url string, host string, path string, lines binary"))
-    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), lines.count() // RANGE_PAGES))
     near = lines.repartitionByRange(n, "host", "path", "url", "page_id").sortWithinPartitions("host", "path", "url", "page_id")
     return near.mapInArrow(differ, "page_id bigint, url string, text string, n_chars bigint")
