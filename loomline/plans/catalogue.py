@@ -32,7 +32,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-ORDER = [F.col("day"), F.col("l_orderkey"), F.col("l_linenumber")]
+ORDER = ["day", "l_orderkey", "l_linenumber"]
 
 
 def claims(spark: SparkSession, d: str) -> DataFrame:
