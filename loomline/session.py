@@ -20,14 +20,18 @@ def session(cores: str = "*") -> SparkSession:
     )
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder in spark.checkpoint.dir (a local one only where that is unset) and read back: a loop's lineage ends there."""
-    spark = df.sparkSession
+def shared_root(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="loomline-"))
         root = _OWN[0]
-    path = f"{root.rstrip('/')}/loomline/{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back: a loop's lineage ends there."""
+    path = f"{shared_root(df.sparkSession)}/loomline/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
