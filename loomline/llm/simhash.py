@@ -21,8 +21,8 @@ from .common import give_back, materialize, rows_of
 SHINGLE, SEED, BUDGET, BLOCKS = 3, 42, 3, 4
 #: Fingerprints of one side of a join task; larger groups are cut into slices, and each pair of slices is a task.
 SLICE = 4096
-#: Rows joined at once, node pairs held at once, and pairs of leaves compared directly.
-ROWS, PAIRS, LEAF = 1 << 17, 1 << 18, 32
+#: Rows joined at once, node pairs traversed at once, pairs that make a leaf, and pairs of leaves compared at once.
+ROWS, PAIRS, LEAF, COMPARED = 1 << 17, 1 << 16, 32, 1 << 19
 
 
 def fingerprint(text: str) -> int:
@@ -96,6 +96,11 @@ def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> np.ndarray
     def compare(lo, hi, lo2, hi2) -> None:
         w = hi2 - lo2
         size = (hi - lo) * w
+        if len(size) > 1 and size.sum() > COMPARED:
+            half = len(size) // 2
+            compare(lo[:half], hi[:half], lo2[:half], hi2[:half])
+            compare(lo[half:], hi[half:], lo2[half:], hi2[half:])
+            return
         at = np.repeat(np.arange(len(size)), size)
         k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         a, b = lo[at] + k // w[at], lo2[at] + k % w[at]
@@ -163,6 +168,8 @@ def links(classes: DataFrame) -> DataFrame:
                 held, size = [[x[last:] for x in whole]], size - last
         if size:
             yield join(*[np.concatenate(x) for x in zip(*held, strict=True)])
+        del held
+        give_back()
 
     n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tasks.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
