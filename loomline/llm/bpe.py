@@ -221,6 +221,7 @@ class Encoder:
         words.default_factory = words.__len__
         word, words_of = words.__getitem__, self.words_of
         own = [(word(" " + key),) if isinstance(key, str) and key.isalpha() else tuple(map(word, words_of(" " + key if isinstance(key, str) else key[0]))) for key in seen]
+        seen.default_factory = words.default_factory = None  # each is a cycle with its dictionary, which nobody would collect
         ids = self.word_ids(list(words))
         pieces = self.pieces
         plain = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
@@ -245,7 +246,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pattern, ranks, table)
-        gc.disable()  # nothing here is cyclic, and its passes over the dictionaries take a fifth of the time
+        gc.disable()  # block() leaves no cycles, and its passes over the dictionaries take a fifth of the time
 
         def finish(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
             rows, held = [], 0
