@@ -27,7 +27,7 @@ NONE = 2**31 - 1
 HALF, OTHER, RANK_BITS = 402653, 389171, 17
 #: Words of more bytes are merged with a heap, as a fold takes time with the square of a word's length.
 FOLD_BYTES = 48
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -253,7 +253,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
             for i, (raw, plain) in zip(ids, encoder.block(texts), strict=True):
                 rows.append((i, len(raw) // 4, raw, plain))
                 held += len(raw) + len(plain)
-                if held > 8 << 20:
+                if held > 2 << 20:
                     yield batch_of(rows, out)
                     rows, held = [], 0
             if rows:
