@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import batch_of, give_back, rows_of
+from .common import batch_of, give_back, map_batches, rows_of
 
 #: Fixed value: the rank that stands for "these two pieces do not merge".
 NONE = 2**31 - 1
@@ -273,7 +273,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         del ids, texts, encoder
         give_back()
 
-    rows = docs.select(F.col(id_col).cast("bigint"), F.col(text_col)).mapInArrow(run, "id bigint, n_tokens bigint, ids binary, decoded binary")
+    rows = map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n_tokens bigint, ids binary, decoded binary")
     return rows.withColumnRenamed("id", id_col)
 
 

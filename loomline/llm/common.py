@@ -6,14 +6,17 @@ import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words, as a Java regular expression class.
 SPACE = r"[\x20\x09-\x0D]+"
+#: Bytes of an Arrow batch on its way to a Python worker.
+BATCH_BYTES = 4 << 20
 
 
 _OWN: list[str] = []
@@ -58,6 +61,15 @@ def rows_of(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow over batches of at most BATCH_BYTES, or one row. Spark's own limit lets a batch of whole texts hold a partition, once
+    in the JVM's direct memory and once in the worker. The session keeps the limit; one that it has already stays."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(run, schema)
+
+
 def give_back() -> None:
     """Return freed memory to the system: a worker that is used again would hold it while other stages need it."""
     gc.collect()

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, give_back, rows_of
+from .common import batch_of, give_back, map_batches, rows_of
 
 #: Documents that the model is fitted on, at most, and characters of them in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
@@ -156,7 +156,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         del scorer
         give_back()
 
-    scored = docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, score double")
+    scored = map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, score double")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(True))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -172,4 +172,4 @@ def keep(docs: DataFrame, model: Model) -> DataFrame:
         del scorer
         give_back()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, materialize, rows_of
+from .common import give_back, map_batches, materialize, rows_of
 
 SHINGLE, SEED, BUDGET, BLOCKS = 3, 42, 3, 4
 #: Fingerprints of one side of a join task; larger groups are cut into slices, and each pair of slices is a task.
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], schema=schema)
         give_back()
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, fp bigint")
+    return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, "doc_id bigint, fp bigint")
 
 
 class Forest:
