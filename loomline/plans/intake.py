@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomline.functions import dimensions
+from loomline.functions import codes, dimensions
 from loomline.operators import slots, stewardship, survivorship, validate
 from loomline.plans.catalogue import CLAIMS, ORDER, RANKED, claims, current, priority, query, table
-from loomline.sources import envelope, log
+from loomline.sources import envelope, log, trade
 from loomline.streaming import feed
 
 
@@ -201,3 +201,33 @@ def quality_rollup(spark, d):
     r = survivorship.ranked(current(spark, d), priority(spark, d))
     s = r.groupBy("source").agg(F.count("*").alias("claims"), F.count_if(F.col("rank") == survivorship.UNRANKED).alias("unranked"), F.countDistinct("code").alias("items"))
     return s.withColumn("unranked_percent", F.floor(F.col("unranked") * 100 / F.col("claims")).cast("bigint"))
+
+
+def trade_lines(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Each part as a catalogue record with an ISBN-10, and every third as a feed's item with that book's ISBN-13 and its neighbour's."""
+    def ten(k):
+        body = F.lpad((k * 37).cast("string"), 9, "0")
+        digit = (11 - codes.weighted_sum(body, 9, lambda x, i: x * (11 - i)) % 11) % 11
+        return F.concat_ws("-", F.substring(body, 1, 1), F.substring(body, 2, 8), F.when(digit == 10, "X").otherwise(digit.cast("string")))
+
+    k, part = F.col("p_partkey"), table(spark, d, "part")
+    record = F.format_string('{"id":%d,"isbn":"%s","title":"%s","pages":%d,"binding":null}', k, ten(k), F.col("p_name"), F.col("p_size"))
+    item = F.format_string('{"sku":"BW-%d","isbns":["%s","%s"],"pages":"%d","imprint":"%s"}', k, codes.isbn13(ten(k)), codes.isbn13(ten(k + 1)), F.col("p_size"), F.col("p_brand"))
+    return part.select(record.alias("line")), part.where("p_partkey % 3 = 0").select(item.alias("line"))
+
+
+@query("""WITH n AS (SELECT *, unnest([p_partkey, p_partkey + 1]) AS k FROM part), b AS (SELECT *, '978' || lpad((k * 37)::VARCHAR, 9, '0') AS v FROM n),
+c AS (SELECT *, 'isbn13:' || v || (10 - list_sum(list_transform(range(1, 13), lambda i: substr(v, i::INT, 1)::INT * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10)::BIGINT % 10 AS code FROM b),
+p AS (SELECT p_partkey, p_name, p_size, p_brand, arg_min(code, k) AS one, arg_max(code, k) AS two FROM c GROUP BY ALL)
+SELECT 'identity' AS kind, 'librex' AS source, 'librex-' || p_partkey AS ref, one AS code, NULL::BIGINT AS product, NULL AS field, NULL AS value FROM p
+UNION ALL SELECT 'grouping', 'librex', 'librex-' || p_partkey, one, p_partkey, NULL, NULL FROM p
+UNION ALL SELECT 'attribute', 'librex', 'librex-' || p_partkey, one, NULL, 'title', 's:' || p_name FROM p
+UNION ALL SELECT 'attribute', 'librex', 'librex-' || p_partkey, one, NULL, 'pages', 'i:' || p_size FROM p
+UNION ALL SELECT 'identity', 'bookwire', 'BW-' || p_partkey, one || ',' || two, NULL, NULL, NULL FROM p WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'attribute', 'bookwire', 'BW-' || p_partkey, one, NULL, 'pages', 's:' || p_size FROM p WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'attribute', 'bookwire', 'BW-' || p_partkey, one, NULL, 'imprint', 's:' || p_brand FROM p WHERE p_partkey % 3 = 0""")
+def trade_claims(spark, d):
+    catalogue, items = trade_lines(spark, d)
+    both = trade.claims(catalogue, trade.CATALOGUE).union(trade.claims(items, trade.ITEMS))
+    value = F.when(F.col("value").isNotNull(), F.concat_ws(":", "value.t", "value.s"))
+    return both.select("kind", "source", "ref", F.coalesce("code", F.array_join("codes", ",")).alias("code"), "product", "field", value.alias("value"))
