@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import codes, dimensions
-from loomline.operators import slots, stewardship, survivorship, validate
+from loomline.operators import records, slots, stewardship, survivorship, validate
 from loomline.plans.catalogue import CLAIMS, ORDER, RANKED, claims, current, priority, query, table
 from loomline.sources import envelope, log, trade
 from loomline.streaming import feed
@@ -231,3 +232,33 @@ def trade_claims(spark, d):
     both = trade.claims(catalogue, trade.CATALOGUE).union(trade.claims(items, trade.ITEMS))
     value = F.when(F.col("value").isNotNull(), F.concat_ws(":", "value.t", "value.s"))
     return both.select("kind", "source", "ref", F.coalesce("code", F.array_join("codes", ",")).alias("code"), "product", "field", value.alias("value"))
+
+
+def revision_requests(spark, d) -> DataFrame:
+    """A customer is a record and each order a request: some name a wrong base, some are sent twice, some again with other content."""
+    k = F.col("o_orderkey")
+    before = W.partitionBy("o_custkey").orderBy("o_orderkey")
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("valid_from"), (k % 7 == 0).alias("bad"))
+    o = o.withColumn("m", F.count_if(~F.col("bad")).over(before))
+    o = o.withColumn("base", F.when(F.col("bad"), "no such").otherwise(F.last(F.when(~F.col("bad"), k.cast("string")), ignorenulls=True).over(before.rowsBetween(W.unboundedPreceding, -1))))
+    o = o.withColumn("copy", F.explode(F.when(~F.col("bad") & (k % 11 < 2), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    m = F.col("m")
+    operation = F.when(m <= 1, "replace").when(m % 5 == 0, "withdraw").when(m % 5 == 1, "reactivate").otherwise("patch")
+    other = F.when((F.col("copy") == 1) & (k % 11 == 1), "other").otherwise("value")
+    claim = lambda slot, kind, codes, value: F.struct(slot.alias("slot"), F.lit(kind).alias("kind"), codes.alias("codes"), value.alias("value"))
+    none = F.lit(None).cast("array<string>")
+    own = F.array(claim(F.concat(F.lit("a"), (m % 3).cast("string")), "attribute", none, other))
+    whole = F.concat(F.array(claim(F.lit("identity"), "identity", F.array(F.lit("cnk:1")), F.lit(None).cast("string"))), own)
+    claims = F.when(operation == "withdraw", F.array().cast(f"array<{records.CLAIM}>")).when(operation == "patch", own).otherwise(whole)
+    late = F.when((operation == "withdraw") & (other == "other"), F.date_add("valid_from", 1))
+    return o.select(F.lit("shop").alias("source"), F.col("o_custkey").cast("string").alias("ref"), (k * 2 + F.col("copy")).alias("seq"), operation.alias("operation"), k.cast("string").alias("revision"),
+                    F.col("base").alias("base_revision"), "valid_from", late.alias("valid_to"), claims.alias("claims"), F.array().cast("array<string>").alias("removed"))
+
+
+@query("""WITH o AS (SELECT o_custkey, o_orderkey, o_orderkey % 7 = 0 AS bad, count(*) FILTER (o_orderkey % 7 > 0) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS m FROM orders),
+c AS (SELECT *, unnest(CASE WHEN NOT bad AND o_orderkey % 11 < 2 THEN [0, 1] ELSE [0] END) AS copy FROM o)
+SELECT o_custkey::VARCHAR AS ref, o_orderkey * 2 + copy AS seq, CASE WHEN bad THEN 412 WHEN copy = 1 AND o_orderkey % 11 = 1 THEN 409 ELSE 200 END::INT AS status,
+CASE WHEN bad OR (copy = 1 AND o_orderkey % 11 = 1) THEN 'refused' WHEN copy = 1 THEN 'replay' ELSE 'revised' END AS outcome, m % 5 > 0 AS active,
+CASE WHEN m = 0 THEN 0 WHEN m % 5 = 0 THEN 4 ELSE least(1 + m % 5, 4) END::INT AS slots FROM c""")
+def source_record_gates(spark, d):
+    return records.revise(revision_requests(spark, d)).select("ref", "seq", "status", "outcome", "active", F.size("slots").alias("slots"))
