@@ -262,3 +262,39 @@ CASE WHEN bad OR (copy = 1 AND o_orderkey % 11 = 1) THEN 'refused' WHEN copy = 1
 CASE WHEN m = 0 THEN 0 WHEN m % 5 = 0 THEN 4 ELSE least(1 + m % 5, 4) END::INT AS slots FROM c""")
 def source_record_gates(spark, d):
     return records.revise(revision_requests(spark, d)).select("ref", "seq", "status", "outcome", "active", F.size("slots").alias("slots"))
+
+
+MERGED = """v AS (SELECT o_custkey // 5 AS subject FROM orders WHERE o_orderkey % 10 = 0 GROUP BY ALL HAVING count(DISTINCT o_orderpriority) >= 2),
+k AS (SELECT DISTINCT c_custkey // 5 AS subject, 'SK_' || c_custkey AS key FROM customer),
+g AS (SELECT subject, key, min(key) OVER (PARTITION BY subject) AS survivor FROM k WHERE subject IN (SELECT subject FROM v)),
+m AS (SELECT DISTINCT 'SK_' || o_custkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN 'cnk' ELSE 'gtin' END AS scheme, o_orderkey % 97 AS code FROM orders)"""
+
+
+def merges_of(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Neighbouring customers are proposed as one, and endorsed by the priorities of some of their orders. Also the customers' codes."""
+    orders = table(spark, d, "orders")
+    fifth = lambda c: F.floor(F.col(c) / 5)
+    proposals = table(spark, d, "customer").select(fifth("c_custkey").alias("subject"), F.concat(F.lit("SK_"), "c_custkey").alias("key"))
+    votes = orders.where("o_orderkey % 10 = 0").select(fifth("o_custkey").alias("subject"), F.col("o_orderpriority").alias("actor"))
+    scheme = F.when(F.col("o_orderkey") % 3 > 0, "cnk").otherwise("gtin")
+    members = orders.select(F.concat(F.lit("SK_"), "o_custkey").alias("key"), scheme.alias("scheme"), (F.col("o_orderkey") % 97).alias("code")).distinct()
+    return stewardship.approved_merges(proposals, votes), members
+
+
+@query(f"WITH {MERGED} SELECT subject, key, survivor FROM g")
+def merge_approvals(spark, d):
+    return merges_of(spark, d)[0].select("subject", "key", "survivor")
+
+
+@query(f"WITH {MERGED} SELECT coalesce(survivor, key) AS key, scheme, code FROM m LEFT JOIN g USING (key) GROUP BY ALL")
+def merge_members(spark, d):
+    merges, members = merges_of(spark, d)
+    return stewardship.members_after(members, merges)
+
+
+@query(f"""WITH {MERGED}, r AS (SELECT subject, scheme, key, code FROM m JOIN g USING (key) WHERE scheme = 'cnk'),
+x AS (SELECT DISTINCT a.subject, a.scheme FROM r a JOIN r b ON a.subject = b.subject AND a.scheme = b.scheme AND a.key <> b.key AND a.code <> b.code)
+SELECT subject, scheme, key, code FROM r SEMI JOIN x USING (subject, scheme)""")
+def merge_same_evidence(spark, d):
+    merges, members = merges_of(spark, d)
+    return stewardship.same_evidence(members, merges)
