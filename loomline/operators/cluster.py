@@ -42,6 +42,8 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
     each have another kind of code."""
     sets = sorted({tuple(sorted(s)) for s in sets})
     parent, codes = list(range(len(sets))), [set(s) for s in sets]
+    national = [{c for c in s if c[0] in NATIONAL} for s in sets]
+    stands = [any(c[0] not in BARCODE for c in s) for s in sets]
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -54,7 +56,7 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
         for c in s:
             holders.setdefault(c, []).append(k)
     mark = {k: ([c for c in s if c[0] in NATIONAL], s) for k, s in enumerate(sets)}
-    edges = []
+    edges, fine = [], allowed | same
     for code, own in holders.items():
         if code not in shared:
             line = sorted(own, key=lambda k: mark[k])
@@ -65,13 +67,17 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
         a, b = root(a), root(b)
         if a == b:
             continue
-        union = codes[a] | codes[b]
-        alone = all(any(s not in BARCODE for s, _ in codes[k]) for k in (a, b))
-        refused = any(x in union and y in union for x, y in distinct)
+        refused = any((x in codes[a] or x in codes[b]) and (y in codes[a] or y in codes[b]) for x, y in distinct)
         if not kind:
-            refused = refused or _distinct_values(union, allowed | same) or bridge[0][0] in BARCODE and alone
+            refused = refused or _distinct_values(national[a] | national[b], fine) or bridge[0][0] in BARCODE and stands[a] and stands[b]
         if not refused:
-            parent[max(a, b)], codes[min(a, b)] = min(a, b), union
+            low, high = min(a, b), max(a, b)
+            parent[high], stands[low] = low, stands[a] or stands[b]
+            for own in (codes, national):  # the smaller set moves: copying the larger each time grows with its square
+                if len(own[low]) < len(own[high]):
+                    own[low], own[high] = own[high], own[low]
+                own[low] |= own[high]
+                own[high] = set()
     return sorted(sorted(codes[k]) for k in {root(k) for k in range(len(sets))})
 
 
@@ -108,4 +114,6 @@ def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: Data
         out = [(key[0], k, s, v) for k, c in enumerate(guard(sets, never, allow, apart, joined)) for s, v in c]
         return pd.DataFrame(out, columns=["component", "cluster", "scheme", "value"])
 
-    return placed.select("component", "listing", "scheme", "value").groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, "component string, cluster int, scheme string, value string")
+    own = placed.groupBy("component", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value"))).alias("codes"))
+    sets = own.groupBy("component", "codes").agg(F.min("listing").alias("listing")).select("component", "listing", F.inline("codes"))  # the guard decides over distinct sets
+    return sets.groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, "component string, cluster int, scheme string, value string")
