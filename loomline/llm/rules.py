@@ -21,6 +21,9 @@ SPACES = " \t\n\x0b\x0c\r"
 MEASURES = {"symbol_share": 60, "dup_line_share": 300, "repeat_share": 150, "word_length": 60}
 #: The limit is the median plus SPREAD times the distance from the median to the 90th percentile.
 SPREAD = 5
+#: ``keep`` takes the distance to this percentile instead, which a group's junk reaches only from a quarter of its documents on, and caps a
+#: group's limit at CAP times its language's, and a language's at CAP times that of all documents.
+FIRM, CAP = 75, 2
 #: A group of fewer documents takes the limits of its language, a language of fewer those of all documents.
 MIN_GROUP = 100
 #: Up to so many groups, the table of limits is broadcast (a few hundred kB); beyond, it is joined by a shuffle.
@@ -79,34 +82,41 @@ def sketch(rows: DataFrame) -> DataFrame:
     return long.withColumn("bucket", bucket(F.col("value"))).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def limits_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+def limits_of(counts: DataFrame, keys: list[str], high: int = 90) -> DataFrame:
     """A row for each value of ``keys``: docs, and the limit of each measure, from merged sketches."""
     merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
     value = F.expr("CASE WHEN bucket < 128 THEN bucket ELSE (64 + (bucket - 128) % 64) * cast(pow(2, (bucket - 128) div 64 + 1) AS BIGINT) END")
     at = lambda q: F.min(F.when(F.col("upto") >= F.expr(f"(docs * {q} + 99) div 100"), value)).cast("bigint")
-    quantiles = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(50).alias("mid"), at(90).alias("high"))
+    quantiles = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(50).alias("mid"), at(high).alias("high"))
     least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in MEASURES.items()])
     limit = quantiles.withColumn("limit", F.col("mid") + F.greatest((F.col("high") - F.col("mid")) * SPREAD, least))
     return limit.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"max_{m}") for m in MEASURES])
 
 
-def limits(counts: DataFrame) -> DataFrame:
-    """The limits of each (lang, source) of a sketch; small groups take those of their language or of all. Null is a value as others are."""
+def limits(counts: DataFrame, firm: bool = False) -> DataFrame:
+    """The limits of each (lang, source) of a sketch; small groups take those of their language or of all. Null is a value as others are.
+    ``firm``: from FIRM and capped, so that a group full of junk does not widen its own."""
+    high = FIRM if firm else 90
     names = [f"max_{m}" for m in MEASURES]
     renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    own = limits_of(counts, ["lang", "source"])
-    lang = renamed(limits_of(counts, ["lang"]), "l")
-    every = renamed(limits_of(counts.withColumn("every", F.lit(1)), ["every"]), "a")
+    own = limits_of(counts, ["lang", "source"], high)
+    lang = renamed(limits_of(counts, ["lang"], high), "l")
+    every = renamed(limits_of(counts.withColumn("every", F.lit(1)), ["every"], high), "a")
     both = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"]), "left").join(every, F.lit(1) == F.col("a_every"), "left")
-    pick = lambda c: F.when(F.col("docs") >= MIN_GROUP, F.col(c)).when(F.col("l_docs") >= MIN_GROUP, F.col(f"l_{c}")).otherwise(F.col(f"a_{c}")).alias(c)
+
+    def pick(c: str) -> Column:
+        every = F.col(f"a_{c}")
+        lang = F.when(F.col("l_docs") >= MIN_GROUP, F.least(F.col(f"l_{c}"), every * CAP) if firm else F.col(f"l_{c}")).otherwise(every)
+        return F.when(F.col("docs") >= MIN_GROUP, F.least(F.col(c), lang * CAP) if firm else F.col(c)).otherwise(lang).alias(c)
+
     return both.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *map(pick, names))
 
 
-def judged(rows: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, firm: bool = False) -> DataFrame:
     """Add base_failed and kept to measured rows, which are read twice: pass a table, not a plan over texts."""
-    table = materialize(limits(sketch(rows)))
+    table = materialize(limits(sketch(rows), firm))
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     joined = rows.join(table, rows["lang"].eqNullSafe(F.col("__lang")) & rows["source"].eqNullSafe(F.col("__source")), "left")
@@ -125,10 +135,10 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns."""
+    """The rows of ``docs`` that the rules keep by firm limits, with their columns. ``judge`` has the limits of its SQL."""
     inner = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang", "source")
     rows = materialize(measured(inner).drop("text"))
-    return judged(rows).where("kept").select("__doc.*")
+    return judged(rows, firm=True).where("kept").select("__doc.*")
 
 
 _M = ", ".join(MEASURES)
