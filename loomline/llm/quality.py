@@ -14,9 +14,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_of, give_back, map_batches, rows_of
+from .common import batch_of, give_back, map_batches, materialize, rows_of
 
 #: Documents that the model is fitted on, at most, and characters of them in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
@@ -131,16 +132,15 @@ def training_ids(labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
-    """Fit on the labelled training documents, ``limit`` of them and SAMPLE_CHARS characters at most (longest first to go)."""
+    """Fit on the labelled training documents, ``limit`` of them and SAMPLE_CHARS characters at most: by their ids' hash, whatever their
+    length, the last text cut to what is left."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = texts.join(F.broadcast(training_ids(labels, limit)), "doc_id").withColumn("n", F.length("text"))
-    sample = sample.where(F.col("n") <= SAMPLE_CHARS // 100)
-    rows, room = [], SAMPLE_CHARS
-    for r in sorted(sample.select("doc_id", "text", "label").toLocalIterator(), key=lambda r: (len(r.text), r.doc_id, r.text)):
-        room -= len(r.text)
-        if room < 0:
-            break
-        rows.append(r)
+    sample = materialize(texts.join(F.broadcast(training_ids(labels, limit)), "doc_id").withColumn("h", F.xxhash64("text")))
+    sizes = sample.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
+    before = F.coalesce(F.sum(F.col("n") * F.col("copies")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    taken = sizes.withColumn("room", F.floor((SAMPLE_CHARS - before) / F.col("copies")).cast("int")).where("room > 0").select("doc_id", "h", "room")
+    cut = sample.join(F.broadcast(taken), ["doc_id", "h"]).select("doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"), "label")
+    rows = sorted(cut.toLocalIterator(), key=lambda r: (len(r.text), r.doc_id, r.text))
     return train([r.text for r in rows], [1 if r.label == 1 else 0 for r in rows])
 
 
