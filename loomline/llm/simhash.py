@@ -205,6 +205,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their component, with their columns; null ids stay."""
-    lost = materialize(near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(lost, "doc_id", "left_anti").select(docs.columns)
+    """One row of each component of ``docs``, with its columns: the least doc_id, null last. Each row counts by itself, whatever its id."""
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
+    ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(found, "row")
+    kept = materialize(ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))
+    return rows.join(kept, "row", "left_semi").select("doc.*")
