@@ -23,15 +23,23 @@ _OWN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a session that runs in this process
+    (tests) has a folder of its own; on a cluster that would lose data, so it is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="loomline-"))
         found = _OWN[0]
     return found.rstrip("/")
 
 
+def columns_of(df: DataFrame) -> list[F.Column]:
+    """All columns of ``df``, whatever their names: a name with a dot is not a path."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends there, and lost executors cost no second pass."""
     spark = df.sparkSession
@@ -63,7 +71,8 @@ def rows_of(batch: pa.RecordBatch, size: int = 256) -> Iterator[tuple]:
 
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
     """mapInArrow over batches of at most BATCH_BYTES, or one row. Spark's own limit lets a batch of whole texts hold a partition, once
-    in the JVM's direct memory and once in the worker. The session keeps the limit; one that it has already stays."""
+    in the JVM's direct memory and once in the worker. Spark reads that limit from the session as it runs the plan, so the session keeps
+    it; one that it has already stays."""
     conf = df.sparkSession.conf
     if conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)

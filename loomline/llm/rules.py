@@ -1,7 +1,11 @@
 """Quality rules with adaptive thresholds.
 
 Each language and source gets its own upper limits, read from quantile sketches of four integer measures. A sketch counts rows by
-bucket (exact below 128, relative error 1/64 above), so sketches merge by adding counts, in any order, with equal results.
+bucket (exact below 2048, relative error 1/1024 above), so sketches merge by adding counts, in any order, with equal results.
+
+A limit is the median plus SPREAD times the distance from the lower quartile to the median: junk lies above both, so a group's own junk
+moves neither until it is nearly half of the group. Limits shrink smoothly: a group's is averaged with its language's, and that with the
+one of all documents, by the number of texts that each sketch counts, PRIOR against it. No group is too small and none falls back.
 Only DataFrame functions: no Python on the executors.
 """
 
@@ -11,23 +15,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, words_column
+from .common import columns_of, materialize, words_column
 
 #: Base rule: fewer words fail, and a larger share (percent) of words in repeated windows.
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: measure -> the least distance of its limit from the median. Shares count in thousandths, word lengths in tenths of a character.
-MEASURES = {"symbol_share": 60, "dup_line_share": 300, "repeat_share": 150, "word_length": 60}
-#: The limit is the median plus SPREAD times the distance from the median to the 90th percentile.
-SPREAD = 5
-#: ``keep`` takes the distance to this percentile instead, which a group's junk reaches only from a quarter of its documents on, and caps a
-#: group's limit at CAP times its language's, and a language's at CAP times that of all documents.
-FIRM, CAP = 75, 2
-#: A group of fewer documents takes the limits of its language, a language of fewer those of all documents.
-MIN_GROUP = 100
+#: measure -> SPREAD of its limit. Ten-thousandths of a text's visible characters that are neither letters nor numbers; hundredths of a
+#: character per word; thousandths of lines that repeat, and of words in repeated windows. The last two are measured where they are not 0.
+MEASURES = {"other_share": 16, "word_length": 16, "dup_line_share": 5, "repeat_share": 16}
+#: The distance to the quartile counts as so many units at least: a group of equal texts has none.
+LEAST = 5
+#: Texts that the language's limit counts as in a group's, and the limit of all documents in a language's.
+PRIOR = 100
 #: Up to so many groups, the table of limits is broadcast (a few hundred kB); beyond, it is joined by a shuffle.
 BROADCAST_GROUPS = 5000
+#: Buckets are exact below 2 << EXACT.
+EXACT = 10
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -51,115 +55,109 @@ def repeat_words(words: Column) -> Column:
     return _let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("bigint")))
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """``docs`` and the columns COUNTS and MEASURES. Null and empty texts count nothing."""
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def measured(rows: DataFrame) -> DataFrame:
+    """``rows`` (a column text and any others) with the columns COUNTS and MEASURES in place of the text. Null and empty texts count
+    nothing; a measure is null where a text has nothing to measure."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    cut = docs.withColumn("__words", words_column(F.col("text")))
+    cut = rows.withColumn("__words", words_column(F.col("text")))
     words = F.col("__words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counted = cut.withColumns(
         {
             "n_words": F.size(words).cast("bigint"),
             "word_chars": F.length(F.translate(text, SPACES, "")).cast("bigint"),
+            "__others": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D\p{L}\p{N}]+", "")).cast("bigint"),
             "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("bigint"),
             "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("bigint"),
             "__lines": F.size(lines).cast("bigint"),
             "n_repeat_words": repeat_words(words),
         }
     )
-    of = lambda a, b, unit: F.expr(f"{a} * {unit} div greatest({b}, 1L)")
-    return counted.withColumns({"symbol_share": of("n_symbols", "word_chars", 1000), "dup_line_share": of("n_dup_lines", "__lines", 1000), "repeat_share": of("n_repeat_words", "n_words", 1000), "word_length": of("word_chars", "n_words", 10)}).drop("__words", "__lines")
+    of = lambda a, b, unit, where: F.when(F.col(where) > 0, F.expr(f"{a} * {unit} div greatest({b}, 1L)"))
+    shares = {
+        "other_share": of("__others", "word_chars", 10000, "n_words"),
+        "word_length": of("word_chars", "n_words", 100, "n_words"),
+        "dup_line_share": of("n_dup_lines", "__lines", 1000, "n_dup_lines"),
+        "repeat_share": of("n_repeat_words", "n_words", 1000, "n_repeat_words"),
+    }
+    return counted.withColumns(shares).drop("text", "__words", "__lines", "__others")
 
 
-def bucket(x: Column) -> Column:
-    shift = F.length(F.bin(x)) - 7
-    return F.when(x < 128, x.cast("int")).otherwise(128 + (shift - 1) * 64 + F.expr("shiftright(value, length(bin(value)) - 7)").cast("int") - 64)
+def bucket(value: str) -> Column:
+    shift = f"(length(bin({value})) - {EXACT + 1})"
+    half = 1 << EXACT
+    return F.expr(f"CASE WHEN {value} < {2 * half} THEN cast({value} AS INT) ELSE cast({2 * half} + ({shift} - 1) * {half} + shiftright({value}, {shift}) - {half} AS INT) END")
 
 
 def sketch(rows: DataFrame) -> DataFrame:
-    """(lang, source, measure, bucket, n): one pass, summed in each task before the shuffle."""
-    long = rows.select("lang", "source", F.explode(F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])).alias("measure", "value"))
-    return long.withColumn("bucket", bucket(F.col("value"))).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
+    """(lang, source, measure, bucket, n) of the rows that pass the base rule: one pass, summed in each task before the shuffle."""
+    named = F.create_map(*[x for m in MEASURES for x in (F.lit(m), F.col(m))])
+    long = rows.where(~base_failed()).select("lang", "source", F.explode(named).alias("measure", "value")).where("value IS NOT NULL")
+    return long.withColumn("bucket", bucket("value")).groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def limits_of(counts: DataFrame, keys: list[str], high: int = 90) -> DataFrame:
-    """A row for each value of ``keys``: docs, and the limit of each measure, from merged sketches."""
+def limits_of(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """For each value of ``keys``, from merged sketches: n_ (texts counted) and max_ (the limit) of each measure."""
     merged = counts.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
     group = W.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy("bucket"))).withColumn("docs", F.sum("n").over(group))
-    value = F.expr("CASE WHEN bucket < 128 THEN bucket ELSE (64 + (bucket - 128) % 64) * cast(pow(2, (bucket - 128) div 64 + 1) AS BIGINT) END")
+    half = 1 << EXACT
+    value = F.expr(f"CASE WHEN bucket < {2 * half} THEN bucket ELSE ({half} + (bucket - {2 * half}) % {half}) * cast(pow(2, (bucket - {2 * half}) div {half} + 1) AS BIGINT) END")
     at = lambda q: F.min(F.when(F.col("upto") >= F.expr(f"(docs * {q} + 99) div 100"), value)).cast("bigint")
-    quantiles = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(50).alias("mid"), at(high).alias("high"))
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in MEASURES.items()])
-    limit = quantiles.withColumn("limit", F.col("mid") + F.greatest((F.col("high") - F.col("mid")) * SPREAD, least))
-    return limit.groupBy(*keys).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("limit"))).alias(f"max_{m}") for m in MEASURES])
+    quantiles = ranked.groupBy(*keys, "measure").agg(F.max("docs").alias("docs"), at(50).alias("mid"), at(25).alias("low"))
+    spread = F.coalesce(*[F.when(F.col("measure") == m, F.lit(v)) for m, v in MEASURES.items()])
+    limit = quantiles.withColumn("limit", F.col("mid") + F.greatest(F.col("mid") - F.col("low"), F.lit(LEAST)) * spread)
+    of = lambda c, m: F.max(F.when(F.col("measure") == m, F.col(c)))
+    return limit.groupBy(*keys).agg(*[of("docs", m).alias(f"n_{m}") for m in MEASURES], *[of("limit", m).alias(f"max_{m}") for m in MEASURES])
 
 
-def limits(counts: DataFrame, firm: bool = False) -> DataFrame:
-    """The limits of each (lang, source) of a sketch; small groups take those of their language or of all. Null is a value as others are.
-    ``firm``: from FIRM and capped, so that a group full of junk does not widen its own."""
-    high = FIRM if firm else 90
-    names = [f"max_{m}" for m in MEASURES]
+def limits(counts: DataFrame) -> DataFrame:
+    """The limits of each (lang, source) of a sketch. Null is a value as others are. A measure that no text of a group has takes the
+    language's limit, one that none of the language has that of all documents."""
     renamed = lambda df, p: df.select(*[F.col(c).alias(f"{p}_{c}") for c in df.columns])
-    own = limits_of(counts, ["lang", "source"], high)
-    lang = renamed(limits_of(counts, ["lang"], high), "l")
-    every = renamed(limits_of(counts.withColumn("every", F.lit(1)), ["every"], high), "a")
+    own = limits_of(counts, ["lang", "source"])
+    lang = renamed(limits_of(counts, ["lang"]), "l")
+    every = renamed(limits_of(counts.withColumn("every", F.lit(1)), ["every"]), "a")
     both = own.join(lang, own["lang"].eqNullSafe(lang["l_lang"]), "left").join(every, F.lit(1) == F.col("a_every"), "left")
 
-    def pick(c: str) -> Column:
-        every = F.col(f"a_{c}")
-        lang = F.when(F.col("l_docs") >= MIN_GROUP, F.least(F.col(f"l_{c}"), every * CAP) if firm else F.col(f"l_{c}")).otherwise(every)
-        return F.when(F.col("docs") >= MIN_GROUP, F.least(F.col(c), lang * CAP) if firm else F.col(c)).otherwise(lang).alias(c)
+    def shrunk(m: str) -> Column:
+        mean = lambda n, a, b: f"coalesce(({n} * {a} + {PRIOR} * {b}) div ({n} + {PRIOR}), {b})"
+        return F.expr(mean(f"n_{m}", f"max_{m}", mean(f"l_n_{m}", f"l_max_{m}", f"a_max_{m}"))).alias(f"max_{m}")
 
-    return both.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *map(pick, names))
+    return both.select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), *map(shrunk, MEASURES))
 
 
-def judged(rows: DataFrame, firm: bool = False) -> DataFrame:
+def judged(rows: DataFrame) -> DataFrame:
     """Add base_failed and kept to measured rows, which are read twice: pass a table, not a plan over texts."""
-    table = materialize(limits(sketch(rows), firm))
+    table = materialize(limits(sketch(rows)))
     if table.count() <= BROADCAST_GROUPS:
         table = F.broadcast(table)
     joined = rows.join(table, rows["lang"].eqNullSafe(F.col("__lang")) & rows["source"].eqNullSafe(F.col("__source")), "left")
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     over = F.lit(False)
     for m in MEASURES:
         over = over | F.coalesce(F.col(m) > F.col(f"max_{m}"), F.lit(False))
-    return joined.withColumn("base_failed", base).withColumn("kept", ~base & ~over)
+    return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & ~over)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """doc_id, COUNTS, base_failed, kept for each row. Null lang or source is a group of its own; repeated rows, null ids stay; an
-    empty table gives none. Other columns, whatever their names, are left out."""
-    rows = materialize(measured(docs.select("doc_id", "text", "lang", "source")).drop("text"))
+    """doc_id, COUNTS, base_failed, kept for each row. Null lang or source is a group of its own; null and empty texts fail the base
+    rule; repeated rows, null ids stay, each counted; a very long text is one row as others are; an empty table gives none. Other
+    columns, whatever their names, are left out."""
+    rows = materialize(measured(docs.select("doc_id", "text", "lang", "source")))
     return judged(rows).select("doc_id", *COUNTS, "base_failed", "kept")
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the rules keep by firm limits, with their columns. ``judge`` has the limits of its SQL."""
-    inner = docs.select(F.struct(*docs.columns).alias("__doc"), "doc_id", "text", "lang", "source")
-    rows = materialize(measured(inner).drop("text"))
-    return judged(rows, firm=True).where("kept").select("__doc.*")
-
-
-_M = ", ".join(MEASURES)
-
-
-def _limits_sql(name: str, keys: str) -> str:
-    on = keys + ", " if keys else ""
-    least = " ".join(f"WHEN '{m}' THEN {v}" for m, v in MEASURES.items())
-    maxes = ", ".join(f"max(lim) FILTER (measure = '{m}') AS max_{m}" for m in MEASURES)
-    return f"""
-{name}_m AS (SELECT {on}measure, bucket, sum(n) AS n FROM sk GROUP BY {on}measure, bucket),
-{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {on}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}measure) AS docs,
-  CASE WHEN bucket < 128 THEN bucket ELSE (64 + (bucket - 128) % 64) * pow(2, (bucket - 128) // 64 + 1)::BIGINT END AS v FROM {name}_m),
-{name}_q AS (SELECT {on}measure, max(docs) AS docs, min(v) FILTER (upto >= (docs * 50 + 99) // 100) AS mid, min(v) FILTER (upto >= (docs * 90 + 99) // 100) AS high
-  FROM {name}_r GROUP BY {on}measure),
-{name}_l AS (SELECT *, mid + greatest((high - mid) * {SPREAD}, CASE measure {least} END) AS lim FROM {name}_q),
-{name} AS (SELECT {on}max(docs) AS docs, {maxes} FROM {name}_l {"GROUP BY " + keys if keys else ""})"""
+    """The rows of ``docs`` that the rules keep, with their columns, whatever their names. Null and empty texts go (they fail the base
+    rule); repeated rows and null ids are judged row by row; an empty table gives none."""
+    rows = materialize(measured(docs.select(F.struct(*columns_of(docs)).alias("__doc"), "text", "lang", "source")))
+    return judged(rows).where("kept").select("__doc.*")
 
 
-_PICK = ", ".join(f"CASE WHEN o.docs >= {MIN_GROUP} THEN o.max_{m} WHEN l.docs >= {MIN_GROUP} THEN l.max_{m} ELSE a.max_{m} END AS max_{m}" for m in MEASURES)
-
 #: ``docs`` stands for the table's name.
 MEASURED_SQL = r"""
 t AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
@@ -168,20 +166,42 @@ win AS (SELECT doc_id, i, array_to_string(w[i:i+4], ' ') AS g FROM (SELECT doc_i
 dup AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
 cov AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, i + unnest([0, 1, 2, 3, 4]) AS p FROM dup) GROUP BY doc_id),
 c AS (SELECT t.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(text, '[\x20\x09-\x0D\p{L}\p{N}]+', '', 'g'))::BIGINT AS n_others,
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines,
   len(ln)::BIGINT AS n_lines, coalesce(cov.n, 0)::BIGINT AS n_repeat_words FROM t LEFT JOIN cov USING (doc_id)),
-m AS (SELECT *, n_symbols * 1000 // greatest(word_chars, 1) AS symbol_share, n_dup_lines * 1000 // greatest(n_lines, 1) AS dup_line_share,
-  n_repeat_words * 1000 // greatest(n_words, 1) AS repeat_share, word_chars * 10 // greatest(n_words, 1) AS word_length FROM c)"""
+m AS (SELECT *, CASE WHEN n_words > 0 THEN n_others * 10000 // greatest(word_chars, 1) END AS other_share, CASE WHEN n_words > 0 THEN word_chars * 100 // greatest(n_words, 1) END AS word_length,
+  CASE WHEN n_dup_lines > 0 THEN n_dup_lines * 1000 // greatest(n_lines, 1) END AS dup_line_share, CASE WHEN n_repeat_words > 0 THEN n_repeat_words * 1000 // greatest(n_words, 1) END AS repeat_share,
+  (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed FROM c)"""
+
+
+def _limits_sql(name: str, keys: str) -> str:
+    on = keys + ", " if keys else ""
+    spread = " ".join(f"WHEN '{m}' THEN {v}" for m, v in MEASURES.items())
+    columns = ", ".join([f"max(docs) FILTER (measure = '{m}') AS n_{m}" for m in MEASURES] + [f"max(lim) FILTER (measure = '{m}') AS max_{m}" for m in MEASURES])
+    half = 1 << EXACT
+    return f"""
+{name}_m AS (SELECT {on}measure, bucket, sum(n)::BIGINT AS n FROM sk GROUP BY {on}measure, bucket),
+{name}_r AS (SELECT *, sum(n) OVER (PARTITION BY {on}measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {on}measure) AS docs,
+  CASE WHEN bucket < {2 * half} THEN bucket ELSE ({half} + (bucket - {2 * half}) % {half}) * pow(2, (bucket - {2 * half}) // {half} + 1)::BIGINT END AS v FROM {name}_m),
+{name}_q AS (SELECT {on}measure, max(docs) AS docs, min(v) FILTER (upto >= (docs * 50 + 99) // 100) AS mid, min(v) FILTER (upto >= (docs * 25 + 99) // 100) AS low
+  FROM {name}_r GROUP BY {on}measure),
+{name}_l AS (SELECT *, mid + greatest(mid - low, {LEAST}) * CASE measure {spread} END AS lim FROM {name}_q),
+{name} AS (SELECT {on}{columns} FROM {name}_l {"GROUP BY " + keys if keys else ""})"""
+
+
+def _shrunk_sql(m: str) -> str:
+    mean = lambda n, a, b: f"coalesce(({n} * {a} + {PRIOR} * {b}) // ({n} + {PRIOR}), {b})"
+    return mean(f"o.n_{m}", f"o.max_{m}", mean(f"l.n_{m}", f"l.max_{m}", f"a.max_{m}")) + f" AS max_{m}"
+
 
 JUDGED_SQL = (
-    "sk AS (SELECT lang, source, measure, CASE WHEN v < 128 THEN v ELSE 128 + (length(bin(v)) - 8) * 64 + (v >> (length(bin(v)) - 7)) - 64 END AS bucket, count(*) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m" for m in MEASURES)
+    f"sk AS (SELECT lang, source, measure, CASE WHEN v < {2 << EXACT} THEN v ELSE {2 << EXACT} + (length(bin(v)) - {EXACT + 2}) * {1 << EXACT} + (v >> (length(bin(v)) - {EXACT + 1})) - {1 << EXACT} END AS bucket, count(*) AS n FROM ("
+    + " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM m WHERE NOT base_failed AND {m} IS NOT NULL" for m in MEASURES)
     + ") GROUP BY ALL),"
     + ",".join((_limits_sql("own", "lang, source"), _limits_sql("bylang", "lang"), _limits_sql("every", "")))
     + f""",
-lim AS (SELECT o.lang, o.source, {_PICK} FROM own o LEFT JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang, every a),
-judged AS (SELECT m.*, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed,
-  NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AND NOT ({" OR ".join(f"m.{x} > lim.max_{x}" for x in MEASURES)}) AS kept
+lim AS (SELECT o.lang, o.source, {", ".join(map(_shrunk_sql, MEASURES))} FROM own o LEFT JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang, every a),
+judged AS (SELECT m.*, NOT base_failed AND NOT ({" OR ".join(f"coalesce(m.{x} > lim.max_{x}, FALSE)" for x in MEASURES)}) AS kept
   FROM m LEFT JOIN lim ON m.lang IS NOT DISTINCT FROM lim.lang AND m.source IS NOT DISTINCT FROM lim.source)"""
 )
 
