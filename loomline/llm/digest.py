@@ -1,45 +1,48 @@
 """Improbable-feature digests.
 
-Each 64-byte window of a text is ranked by how improbable its entropy is; windows that are the rarest of many neighbourhoods are the
-features. Features go, in order, into a chain of Bloom filters; two chains are compared by the overlap of their bits beyond chance.
+Each window of 16 bytes of a text is ranked by how improbable its entropy is; windows that are the rarest of several neighbourhoods are
+the features. Features go, in order, into a chain of Bloom filters; two chains are compared by the overlap of their bits beyond chance.
+Texts of all lengths are digested alike; one shorter than a window is a window filled up with zero bytes, and an empty one has none.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, map_batches, rows_of
 
-#: Bytes of a window; windows of a neighbourhood; neighbourhoods that a feature must be the rarest of.
-WINDOW, NEAR, POPULAR = 64, 64, 16
+#: Bytes of a window (a power of two); windows of a neighbourhood (no more than bytes of a window); neighbourhoods that a feature must be
+#: the rarest of.
+WINDOW, NEAR, POPULAR = 16, 12, 4
 #: Bits of a filter (a power of two), features in it, bits that a feature sets.
 FILTER_BITS, FILTER_FEATURES, HASHES = 2048, 160, 5
 #: Entropy, in thousandths of its most, that a window of plain text has on average and its spread; below LEAST a window only repeats.
-TYPICAL, SPREAD, LEAST = 690, 45, 200
-#: Texts of fewer code points are digested by all windows of up to so many bytes.
-SHORT_CHARS, SHORT_WINDOW = 400, 12
+TYPICAL, SPREAD, LEAST = 780, 67, 300
+#: Bytes that are ranked in one buffer; it only bounds memory.
 BUFFER = 1 << 18
-RANGE_DOCS, MAX_RANGES = 4000, 1 << 16
+#: Documents of a range aimed at, most ranges, and rows sampled for each range's end.
+RANGE_DOCS, MAX_RANGES, SAMPLED = 4000, 1 << 16, 16
 
-_UNIT = 1 << 20
+_UNIT, _BITS = 1 << 20, WINDOW.bit_length() - 1
 _PHI = np.array([0] + [round(_UNIT * c * np.log2(c)) for c in range(1, WINDOW + 1)], np.int64)
 _STEP = np.diff(_PHI)
 _RARITY = np.array([1 << 20 if h < LEAST else 1 + int(100_000 * np.exp(-(((h - TYPICAL) / SPREAD) ** 2) / 2)) for h in range(1001)], np.int64)
 _MIX = np.random.default_rng(7).integers(1, 2**63, (2, WINDOW // 8), np.uint64) | np.uint64(1)
+_NOT = np.int64(1 << 62)
 
 
 def entropies(b: np.ndarray) -> np.ndarray:
     """Entropy of each window of the bytes, in thousandths of the most it can be. A window's sum over byte counts c of c log c changes by
-    one byte out and one in, whose counts are those of equal bytes among the next and the last 63."""
+    one byte out and one in, whose counts are those of equal bytes among the next and the last of a window."""
     n = len(b)
     after, before = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     for d in range(1, WINDOW):
@@ -51,7 +54,7 @@ def entropies(b: np.ndarray) -> np.ndarray:
     phi[0] = into[:WINDOW].sum()
     phi[1:] = into[WINDOW:] - _STEP[after[: n - WINDOW]]
     phi = np.cumsum(phi)
-    return (1000 * (6 * WINDOW * _UNIT - phi)) // (6 * WINDOW * _UNIT)
+    return (1000 * (_BITS * WINDOW * _UNIT - phi)) // (_BITS * WINDOW * _UNIT)
 
 
 def _hash(windows: np.ndarray) -> np.ndarray:
@@ -72,49 +75,44 @@ def _filters(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1)
 
 
-def _short(text: str) -> np.ndarray:
-    """A text of fewer than SHORT_CHARS code points has too few rare windows: all its smaller windows are features. An empty one has none."""
-    raw = text.encode()
-    if not raw:
-        return np.zeros((0, FILTER_BITS // 8), np.uint8)
-    w = max(1, min(SHORT_WINDOW, len(text) // 4))
-    return _filters(np.array([xxhash.xxh64_intdigest(raw[i : i + w]) for i in range(max(1, len(raw) - w + 1))], np.uint64))
-
-
-def _long(raws: list[bytes]) -> list[np.ndarray]:
-    """Chains of texts of a window or more, all ranked in one buffer."""
+def _ranked(raws: list[bytes]) -> list[np.ndarray]:
+    """Chains of texts that are not empty, all ranked in one buffer. Windows that lie across two texts are never the rarest; there are
+    NEAR - 1 of them at least between two texts, so a neighbourhood has windows of one text only."""
+    raws = [r.ljust(WINDOW, b"\0") for r in raws]
     b = np.frombuffer(b"".join(raws), np.uint8)
     ends = np.cumsum([len(r) for r in raws])
-    starts = ends - [len(r) for r in raws]
-    key = _RARITY[entropies(b)] << 32 | np.arange(len(b) - WINDOW + 1)  # ties: the leftmost
-    low = key
-    for k in (1, 2, 4, 8, 16, 32):
-        low = np.minimum(low[:-k], low[k:]) if len(low) > k else low[:0]
-    owner = np.zeros(len(b) + 1, np.int64)
-    owner[ends[:-1]] = 1
-    owner = np.cumsum(owner)
-    whole = owner[: len(low)] == owner[NEAR + WINDOW - 2 : NEAR + WINDOW - 2 + len(low)]  # the neighbourhood lies in one text
-    votes = np.bincount(low[whole] & 0xFFFFFFFF, minlength=len(key))
-    chosen = votes >= POPULAR
-    chosen[[int(key[s : e - WINDOW + 1].min() & 0xFFFFFFFF) for s, e in zip(starts, ends, strict=True)]] = True  # at least one each
-    at = np.flatnonzero(chosen)
+    across = np.zeros(len(b) + 1, np.int8)
+    across[ends[:-1] - (WINDOW - 1)] = 1
+    across[ends[:-1]] -= 1
+    n = len(b) - WINDOW + 1
+    key = np.full(n + 2 * (NEAR - 1), _NOT)
+    own = _RARITY[entropies(b)] << 32 | np.arange(n)  # ties: the leftmost
+    key[NEAR - 1 : NEAR - 1 + n] = np.where(np.cumsum(across[:n], dtype=np.int8) > 0, _NOT, own)
+    low, width = key, 1
+    while width < NEAR:
+        step = min(width, NEAR - width)
+        low = np.minimum(low[:-step], low[step:])
+        width += step
+    votes = np.bincount(low[low < _NOT] & 0xFFFFFFFF, minlength=n)
+    at = np.flatnonzero(votes >= POPULAR)
     hashes = _hash(np.lib.stride_tricks.sliding_window_view(b, WINDOW)[at])
-    cut = np.searchsorted(at, np.r_[starts, len(b)])
+    cut = np.searchsorted(at, np.r_[0, ends])
     return [_filters(hashes[i:j]) for i, j in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def chains(texts: list[str]) -> list[np.ndarray]:
-    raws = [t.encode() for t in texts]
-    out = [_short(t) if len(t) < SHORT_CHARS else None for t in texts]
-    group, size = [], 0
-    for k, r in [*enumerate(raws), (None, b"")]:
-        if group and (k is None or size + len(r) > BUFFER):
-            for i, chain in zip(group, _long([raws[i] for i in group]), strict=True):
+    out = [np.zeros((0, FILTER_BITS // 8), np.uint8)] * len(texts)
+    group, raws, size = [], [], 0
+    for k, t in [*enumerate(texts), (None, "")]:
+        raw = t.encode()
+        if group and (k is None or size + len(raw) > BUFFER):
+            for i, chain in zip(group, _ranked(raws), strict=True):
                 out[i] = chain
-            group, size = [], 0
-        if k is not None and out[k] is None:
+            group, raws, size = [], [], 0
+        if raw:
             group.append(k)
-            size += len(r)
+            raws.append(raw)
+            size += len(raw)
     return out
 
 
@@ -156,34 +154,37 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for each row.
 
-    The next document is the one of the next smaller doc_id, after the last the first; rows that repeat an id follow each other by text.
-    Null texts are empty; null ids come last. Other columns, whatever their names, are left out. An empty table gives none.
+    The next document is the one of the next smaller doc_id, after the last the first; rows that repeat an id follow each other by the
+    MD5 of their text, and null ids come last. Null texts are empty; an empty one has no features and is like another empty one only.
+    The only row of a table follows itself. A very long text is digested whole. Other columns, whatever their names, are left out. An
+    empty table gives none.
 
-    Documents are dealt once, compressed, by ranges of doc_id whose upper ends are ids of documents: the document at a range's end also
-    goes to the next range, whose last document it follows, so no order over all rows and no second pass is needed. The driver holds
-    at most MAX_RANGES ids.
+    Documents are dealt once, compressed, by ranges of (id, MD5) whose upper ends are sampled rows: the document at a range's end also
+    goes to the next range, whose last document it follows, so no order over all rows and no second pass is needed, and neither null
+    ids nor one that many rows repeat make a large range. The driver holds at most SAMPLED * MAX_RANGES keys.
     """
     ids = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    spark = docs.sparkSession
-    rows = ids.agg(F.count("*")).first()[0]
-    parts = min(MAX_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_DOCS))
-    shares = F.array(*[F.lit(k / parts) for k in range(1, parts)], F.lit(1.0))
-    found = ids.agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * parts)), F.max("doc_id")).first()
-    ends = np.unique(np.array([*(found[0] or []), *([found[1]] if found[1] is not None else [0])], np.int64))
+    place = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("tie"))
+    rows = ids.count()
+    parts = min(MAX_RANGES, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows // RANGE_DOCS))
+    share = min(1.0, SAMPLED * parts / max(rows, 1))
+    sampled = sorted(tuple(r[0]) for r in (ids.sample(share, 7) if share < 1 else ids).select(place).collect())
+    last = ids.agg(F.max(place)).first()[0]
+    ends = sorted({*sampled[SAMPLED - 1 :: SAMPLED], *([tuple(last)] if last else [])}) or [(False, 0, "")]
 
-    dealt = pa.schema([("part", pa.int32()), ("extra", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.binary()), ("text", pa.binary())])
+    dealt = pa.schema([("part", pa.int32()), ("extra", pa.bool_()), ("doc_id", pa.int64()), ("tie", pa.string()), ("text", pa.binary())])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(1).compress
         for b in batches:
             out = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for i, t in rows_of(b):
                 raw = (t or "").encode()
-                tie, packed = hashlib.md5(raw).digest(), press(raw)
-                k = int(np.searchsorted(ends, i)) if i is not None else 0
-                out.append((k, False, i, tie, packed))
-                if i is None and len(ends) == 1 or i is not None and ends[k] == i:
-                    out.append(((k + 1) % len(ends), True, i, tie, packed))
+                own = (i is not None, i or 0, hashlib.md5(raw).hexdigest())
+                packed, k = press(raw), bisect_left(ends, own)
+                out.append((k, False, i, own[2], packed))
+                if ends[k] == own:
+                    out.append(((k + 1) % len(ends), True, i, own[2], packed))
             yield batch_of(out, dealt)
 
     names = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -205,7 +206,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
         part = None
         for b in batches:
-            for p, extra, i, _, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for p, extra, i, _, packed in rows_of(b):
                 if p != part or size > 4 << 20:
                     if len(held) > 1:
                         yield finish()
@@ -217,6 +218,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield finish()
 
-    spread = ids.mapInArrow(deal, "part int, extra boolean, doc_id bigint, tie binary, text binary")
-    order = ["part", "extra", F.col("doc_id").desc_nulls_last(), "tie"]
-    return spread.repartition(min(parts, len(ends)), "part").sortWithinPartitions(*order).mapInArrow(run, names)
+    spread = map_batches(ids, deal, "part int, extra boolean, doc_id bigint, tie string, text binary")
+    order = ["part", "extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
+    return map_batches(spread.repartition(min(parts, len(ends)), "part").sortWithinPartitions(*order), run, names)

@@ -109,8 +109,8 @@ def test_digest_entropy_and_likeness():
     rng = random.Random(1)
     b = np.frombuffer(bytes(rng.choice(b"abcdefgh ") for _ in range(500)), np.uint8)
     for i, h in enumerate(digest.entropies(b)):
-        p = np.unique(b[i : i + 64], return_counts=True)[1] / 64
-        assert abs(h - 1000 * -(p * np.log2(p)).sum() / 6) <= 1
+        p = np.unique(b[i : i + digest.WINDOW], return_counts=True)[1] / digest.WINDOW
+        assert abs(h - 1000 * -(p * np.log2(p)).sum() / np.log2(digest.WINDOW)) <= 1
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9)))
     one, two = " ".join(word() for _ in range(600)), " ".join(word() for _ in range(600))
     a, b, c = digest.chains([one, digest.edited(one, two), two])
