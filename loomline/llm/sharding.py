@@ -8,22 +8,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import columns_of, materialize
 
-LIMIT_BYTES = 32 << 20
+#: Bytes of a shard at most.
+LIMIT_BYTES = 1 << 20
 #: Bits of a hash, and bits that one round looks at.
 BITS, STEP = 48, 8
 
 
-def hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """__hash: the first 48 bits of the id's MD5 as 0 and 1 (null ids hash as the empty string); __bytes: of the text in UTF-8."""
-    digits = F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 1, BITS // 4)
-    return docs.withColumns({"__hash": F.lpad(F.conv(digits, 16, 2), BITS, "0"), "__bytes": F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint")})
+def _hash(id_col: str, text_col: str) -> F.Column:
+    """The first 48 bits, as 0 and 1, of the MD5 of id and text: rows that repeat an id, or have none, are spread by their texts."""
+    name = F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    return F.lpad(F.conv(F.substring(F.md5(name), 1, BITS // 4), 16, 2), BITS, "0")
+
+
+def _bytes(text_col: str) -> F.Column:
+    return F.octet_length(F.coalesce(F.col(text_col), F.lit(""))).cast("bigint")
 
 
 def directory(rows: DataFrame, limit_bytes: int = LIMIT_BYTES) -> DataFrame:
     """shard (prefix bits; '' is the whole), shard_bytes, shard_docs from (__hash, __bytes): the shortest prefixes whose rows fit the limit.
-    Rows of one hash cannot be split: their shard has all bits and may exceed the limit."""
+    Only equal rows have one hash: their shard has all bits and may exceed the limit."""
     rounds = []
     over = rows.select("__hash", "__bytes")
     for depth in range(0, BITS, STEP):
@@ -57,26 +62,32 @@ def assign(rows: DataFrame, shards: DataFrame) -> DataFrame:
 def shard(docs: DataFrame, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, shard, depth, shard_bytes, shard_docs for each row.
 
-    Null and empty texts have 0 bytes; rows that repeat an id share a shard; a text over the limit ends in a shard without other ids.
-    Other columns, whatever their names, are left out. An empty table gives none.
+    Null and empty texts have 0 bytes; equal rows share a shard, rows that only repeat an id or have none need not; a text over the
+    limit ends in a shard of its own, or of its copies. Other columns, whatever their names, are left out. An empty table gives none.
     """
-    rows = materialize(hashed(docs.select(F.col(id_col), F.col(text_col)), id_col, text_col).drop(text_col))
+    rows = materialize(docs.select(F.col(id_col).alias("id"), _hash(id_col, text_col).alias("__hash"), _bytes(text_col).alias("__bytes")))
     found = assign(rows, directory(rows, limit_bytes))
-    return found.select(id_col, F.col("__bytes").alias("n_bytes"), "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
+    return found.select(F.col("id").alias(id_col), F.col("__bytes").alias("n_bytes"), "shard", F.length("shard").alias("depth"), "shard_bytes", "shard_docs")
 
 
-def write(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``docs`` as Parquet in a folder for each shard."""
-    placed = assign(hashed(docs, id_col, text_col), directory(materialize(hashed(docs, id_col, text_col).select("__hash", "__bytes")), limit_bytes))
-    named = placed.withColumn("__shard", F.concat(F.lit("b"), "shard")).drop("__hash", "__bytes", "shard", "shard_bytes", "shard_docs")
-    named.repartition("__shard").write.partitionBy("__shard").parquet(path)
+def write(docs: DataFrame, path: str, limit_bytes: int = LIMIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write ``docs`` with all columns as Parquet, in a folder for each shard, and return the folders' column: ``shard``, with as many
+    underscores as make it none of the table's. Its values are the prefix bits after a b. An empty table writes no folder."""
+    name = "shard"
+    while name.lower() in [c.lower() for c in docs.columns]:
+        name += "_"
+    rows = docs.select(F.struct(*columns_of(docs)).alias("__doc"), _hash(id_col, text_col).alias("__hash"), _bytes(text_col).alias("__bytes"))
+    placed = assign(rows, directory(materialize(rows.select("__hash", "__bytes")), limit_bytes))
+    named = placed.select(F.concat(F.lit("b"), "shard").alias("__shard"), "__doc").repartition("__shard")
+    named.select("__doc.*", F.col("__shard").alias(name)).write.partitionBy(name).parquet(path)
+    return name
 
 
 ORACLE_SQL = f"""
-WITH RECURSIVE h AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
-  lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 12))::BIGINT), 48, '0') AS bits FROM documents),
-p AS (SELECT doc_id, n_bytes, bits, unnest(range(0, 49)) AS d FROM h),
+WITH RECURSIVE h AS (SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, ''))::BIGINT AS n_bytes,
+  lpad(bin(('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 12))::BIGINT), 48, '0') AS bits FROM documents),
+p AS (SELECT r, doc_id, n_bytes, bits, unnest(range(0, 49)) AS d FROM h),
 s AS (SELECT substr(bits, 1, d::INT) AS shard, d, sum(n_bytes)::BIGINT AS shard_bytes, count(*)::BIGINT AS shard_docs FROM p GROUP BY ALL),
-f AS (SELECT h.doc_id, h.n_bytes, s.*, row_number() OVER (PARTITION BY h.doc_id ORDER BY s.d) AS k FROM p h JOIN s ON s.shard = substr(h.bits, 1, h.d::INT) AND s.d = h.d
+f AS (SELECT h.doc_id, h.n_bytes, s.*, row_number() OVER (PARTITION BY h.r ORDER BY s.d) AS k FROM p h JOIN s ON s.shard = substr(h.bits, 1, h.d::INT) AND s.d = h.d
   WHERE s.shard_bytes <= {LIMIT_BYTES} OR s.d = 48)
 SELECT doc_id, n_bytes, shard, d::INT AS depth, shard_bytes, shard_docs FROM f WHERE k = 1"""

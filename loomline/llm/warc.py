@@ -2,6 +2,9 @@
 
 An archive is a ZIP file of stored members: records compressed one by one, and an index of their offsets. The reader takes the end
 record, the ZIP64 locator and the central directory, finds the members, reads the index and then single ranges of the data member.
+
+Packages are files in the shared folder where executors mount it. Where it is a store that only Spark reaches, which has no sink for plain
+files, they are cells of a table, and the same reader ranges over a cell.
 """
 
 from __future__ import annotations
@@ -10,15 +13,18 @@ import base64
 import gzip
 import hashlib
 import json
+import os
 import struct
+import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote, urlsplit
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize
+from .common import batch_of, map_batches, materialize, rows_of, shared_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Payloads in one archive, in bytes; payloads below MIN_DEDUP_BYTES are never revisits.
@@ -64,12 +70,19 @@ class FileRange:
     """A file on a mounted path; reads only the ranges asked for."""
 
     def __init__(self, path: str):
-        self.file = open(path, "rb")
+        self.file = open(path, "rb", buffering=0)
         self.size = self.file.seek(0, 2)
 
     def read(self, at: int, n: int) -> bytes:
         self.file.seek(at)
-        return self.file.read(n)
+        parts = []
+        while n > 0 and (part := self.file.read(n)):
+            parts.append(part)
+            n -= len(part)
+        return b"".join(parts)
+
+    def close(self) -> None:
+        self.file.close()
 
 
 class Package:
@@ -182,68 +195,83 @@ def roles(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "html", "refers_to")
 
 
-def write_archives(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = True) -> DataFrame:
-    """archive (a number within its task), content (a ZIP package), written to the shared folder as a table."""
-    schema = pa.schema([("archive", pa.int64()), ("content", pa.binary())])
+def mounted(spark) -> str | None:
+    """The shared folder as a path that every executor opens, or None if only Spark reaches it."""
+    parts = urlsplit(shared_dir(spark))
+    return unquote(parts.path) if parts.scheme in ("", "file") and parts.netloc in ("", "localhost") else None
+
+
+def write_archives(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES, archive_bytes: int = ARCHIVE_BYTES, zip64: bool = True, folder: str | None = None) -> DataFrame:
+    """Write packages of about ``archive_bytes`` of payload each; path, content of each: a file in ``folder``, a path that every executor
+    mounts, or else the bytes. A file has a name of its own for each attempt of a task, and the table, written to the shared folder, names
+    those of the attempts that count; what a lost executor left behind is in no table."""
+    schema = pa.schema([("path", pa.string()), ("content", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data, lines, size, number = bytearray(), [], 0, 0
+        data, lines, size = bytearray(), [], 0
+
+        def finish() -> pa.RecordBatch:
+            package = write_zip([(DATA, bytes(data)), (INDEX, "\n".join(lines).encode())], zip64)
+            if folder is None:
+                return batch_of([(None, package)], schema)
+            path = f"{folder}/{uuid.uuid4().hex}.wacz"
+            os.makedirs(folder, exist_ok=True)
+            with open(path, "wb") as f:
+                f.write(package)
+            return batch_of([(path, None)], schema)
+
         for b in batches:
-            for page_id, url, html, refers_to in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, html, refers_to in rows_of(b):
                 payload = (html or "").encode()
                 packed = gzip.compress(record(page_id, url, payload, refers_to), 5, mtime=0)
                 lines.append(json.dumps({"url": url, "offset": len(data), "length": len(packed)}))
                 data += packed
                 size += len(payload)
                 if size >= archive_bytes:
-                    yield batch_of([(number, write_zip([(DATA, bytes(data)), (INDEX, "\n".join(lines).encode())], zip64))], schema)
-                    data, lines, size, number = bytearray(), [], 0, number + 1
+                    yield finish()
+                    data, lines, size = bytearray(), [], 0
         if lines:
-            yield batch_of([(number, write_zip([(DATA, bytes(data)), (INDEX, "\n".join(lines).encode())], zip64))], schema)
+            yield finish()
 
-    return materialize(roles(pages, min_bytes).mapInArrow(run, "archive bigint, content binary"))
+    return materialize(map_batches(roles(pages, min_bytes), run, "path string, content binary"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of a table with a ``content`` column."""
-    schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for content in b.column(0):
-                package = Package(BytesRange(content.as_buffer()))
-                yield batch_of([read_back(*r) for r in package.records()], schema)
-
-    return archives.select("content").mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
-
-
-def read_files(spark, paths: list[str]) -> DataFrame:
-    """As read_archives(), of package files on a path that every executor mounts: a task reads the directory, the index and one record
-    at a time."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record of a table of packages (path, content): a task reads
+    a package's directory, its index and one record at a time."""
     schema = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column(0).to_pylist():
-                rows = []
-                for r in Package(FileRange(path)).records():
+            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                source, rows = FileRange(path) if path is not None else BytesRange(content.as_buffer()), []
+                for r in Package(source).records():
                     rows.append(read_back(*r))
                     if len(rows) >= 1000:
                         yield batch_of(rows, schema)
                         rows = []
                 yield batch_of(rows, schema)
+                if path is not None:
+                    source.close()
+
+    return map_batches(archives.select("path", "content"), run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
 
-    named = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return named.mapInArrow(run, "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+
+def read_files(spark, paths: list[str]) -> DataFrame:
+    """As read_archives(), of package files on a path that every executor mounts."""
+    named = spark.createDataFrame([(p, None) for p in paths], "path string, content binary").repartition(max(1, len(paths)))
+    return read_archives(named)
 
 
 def round_trip(pages: DataFrame, min_bytes: int = MIN_DEDUP_BYTES) -> DataFrame:
     """Write a record for each row and read the archives back.
 
     A null html is an empty payload, and empty payloads equal one another; rows that repeat a page_id and payload are alike; a null
-    page_id comes after all others. Other columns, whatever their names, are left out. An empty table gives none.
+    page_id comes after all others; a null url is left out of the record; a very long html is one record, however long. Other columns,
+    whatever their names, are left out. An empty table gives none.
     """
-    return read_archives(write_archives(pages, min_bytes))
+    path = mounted(pages.sparkSession)
+    return read_archives(write_archives(pages, min_bytes, folder=path and f"{path}/loomline/{uuid.uuid4().hex}"))
 
 
 ORACLE_SQL = r"""

@@ -184,7 +184,8 @@ def test_sharding_splits_only_what_is_over(spark):
     assert len(got) == 3000 and max(r.depth for r in got) > 8  # two rounds
     size = {}
     for r in got:
-        bits = f"{int(hashlib.md5(str(r.doc_id).encode()).hexdigest()[:12], 16):048b}"
+        text = "x" * (r.doc_id % 50)
+        bits = f"{int(hashlib.md5(f'{r.doc_id}:{hashlib.md5(text.encode()).hexdigest()}'.encode()).hexdigest()[:12], 16):048b}"
         assert bits.startswith(r.shard) and len(r.shard) == r.depth
         for d in range(49):
             size[bits[:d]] = size.get(bits[:d], 0) + r.n_bytes
