@@ -7,7 +7,7 @@ dropped once their differing bits exceed the budget. A group hands on a spanning
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -16,10 +16,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import give_back, map_batches, materialize, rows_of
+from .common import columns_of, give_back, map_batches, materialize, rows_of
 
 SHINGLE, SEED, BUDGET, BLOCKS = 3, 42, 3, 4
-#: Fingerprints of one side of a join task; larger groups are cut into slices, and each pair of slices is a task.
+#: Rows of one side of a join task; larger groups are cut into slices, and each pair of slices is a task.
 SLICE = 4096
 #: Rows joined at once, node pairs traversed at once, pairs that make a leaf, and pairs of leaves compared at once.
 ROWS, PAIRS, LEAF, COMPARED = 1 << 17, 1 << 16, 32, 1 << 19
@@ -72,11 +72,12 @@ class Forest:
             np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
 
 
-def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> np.ndarray:
-    """For rows sorted by (key, side, fp): the first row each is connected to by links within BUDGET bits. Where a key has two sides,
-    links run from side to side; where it has one, within it."""
+def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray, budget: int = BUDGET, leaf_pairs: int = LEAF, forest: Forest | None = None, match=None) -> np.ndarray:
+    """For rows sorted by (key, side, fp): the first row each is connected to by links within ``budget`` bits. Where a key has two sides,
+    links run from side to side; where it has one, within it. ``match(a, b)`` tells which pairs within the budget are links, if not all;
+    ``forest`` holds links known before."""
     n = len(key)
-    forest = Forest(n)
+    forest = forest or Forest(n)
     change = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (side[1:] != side[:-1])])
     ends = np.r_[change[1:], n]
     paired = np.r_[key[change[1:]] == key[change[:-1]], False]  # this run and the next have one key
@@ -104,8 +105,9 @@ def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> np.ndarray
         at = np.repeat(np.arange(len(size)), size)
         k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
         a, b = lo[at] + k // w[at], lo2[at] + k % w[at]
-        on = (a != b) & (np.bitwise_count(fp[a] ^ fp[b]) <= BUDGET)
-        forest.link(a[on], b[on])
+        on = (a != b) & (np.bitwise_count(fp[a] ^ fp[b]) <= budget)
+        a, b = a[on], b[on]
+        forest.link(*(match(a, b) if match else (a, b)))
 
     stack = [(63, lo, hi, lo2, hi2, np.zeros(len(lo), np.int8))]
     while stack:
@@ -115,7 +117,7 @@ def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> np.ndarray
             stack += [(level, *[x[half:] for x in node]), (level, *[x[:half] for x in node])]
             continue
         lo, hi, lo2, hi2, errors = node
-        leaf = (hi - lo) * (hi2 - lo2) <= LEAF if level >= 0 else np.ones(len(lo), bool)
+        leaf = (hi - lo) * (hi2 - lo2) <= leaf_pairs if level >= 0 else np.ones(len(lo), bool)
         compare(lo[leaf], hi[leaf], lo2[leaf], hi2[leaf])
         if leaf.all():
             continue
@@ -125,54 +127,71 @@ def trie_forest(key: np.ndarray, side: np.ndarray, fp: np.ndarray) -> np.ndarray
         parts = (
             (lo, mid, lo2, mid2, errors, ~same | (mid - lo > 1)),
             (mid, hi, mid2, hi2, errors, ~same | (hi - mid > 1)),
-            (lo, mid, mid2, hi2, errors + 1, errors < BUDGET),
-            (mid, hi, lo2, mid2, errors + 1, ~same & (errors < BUDGET)),
+            (lo, mid, mid2, hi2, errors + 1, errors < budget),
+            (mid, hi, lo2, mid2, errors + 1, ~same & (errors < budget)),
         )
         on = [p[5] & (p[1] > p[0]) & (p[3] > p[2]) for p in parts]
         stack.append((level - 1, *(np.concatenate([p[k][o] for p, o in zip(parts, on, strict=True)]) for k in range(5))))
     return forest.roots(np.arange(n))
 
 
-def links(classes: DataFrame) -> DataFrame:
-    """a, b: a spanning forest, for each join task, of the links between the classes (fp, rep)."""
-    blocks = F.explode(F.array(*[F.lit(i << 16).cast("bigint").bitwiseOR(F.shiftrightunsigned("fp", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint"))) for i in range(BLOCKS)]))
-    rows = classes.select("fp", "rep", blocks.alias("group"))
-    large = rows.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") > SLICE)
+def sliced(rows: DataFrame, group: str = "group") -> DataFrame:
+    """``rows`` dealt to join tasks, with columns key and side: a group of over SLICE rows is cut into slices by the column node, and each
+    pair of slices is a task. A key has 20 bits for each slice."""
+    large = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") > SLICE)
     slices = F.coalesce(F.ceil(F.col("n") / SLICE).cast("bigint"), F.lit(1).cast("bigint"))
-    cut = rows.join(large, "group", "left").withColumn("slices", slices).withColumn("side", F.pmod(F.xxhash64("fp"), F.col("slices")))
+    cut = rows.join(large, group, "left").withColumn("slices", slices).withColumn("side", F.pmod(F.xxhash64("node"), F.col("slices")))
     dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)))
-    key = F.col("group").bitwiseOR(F.shiftleft(F.least("side", "other"), 20)).bitwiseOR(F.shiftleft(F.greatest("side", "other"), 40))
-    tasks = dealt.select(key.alias("key"), "side", "fp", "rep")
+    first, last = F.least("side", "other"), F.greatest("side", "other")
+    key = F.when(F.col("slices") == 1, F.xxhash64(group)).otherwise(F.xxhash64(group, first, last))
+    return dealt.withColumn("key", key).drop(group, "n", "slices", "other")
 
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def join(key: np.ndarray, side: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((fp, side, key))
-        key, side, fp, rep = key[order], side[order], fp[order], rep[order]
-        root = trie_forest(key, side, fp)
-        on = np.flatnonzero(root != np.arange(len(root)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[on]), pa.array(rep[root[on]])], schema=schema)
+def in_tasks(tasks: DataFrame, columns: list[str], join: Callable[..., Iterator[pa.RecordBatch]], names: str) -> DataFrame:
+    """join(key, side, *columns) over whole keys, about ROWS rows at a time, as numpy arrays (binary columns as matrices of 64 bits)."""
+
+    def array(column: pa.Array) -> np.ndarray:
+        if pa.types.is_binary(column.type):
+            return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+        return column.to_numpy(zero_copy_only=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
         size = 0
         for b in batches:
-            key, side, fp, rep = (c.to_numpy(zero_copy_only=False) for c in b.columns)
-            held.append([key, side, fp.view(np.uint64), rep])
-            size += len(key)
+            if not b.num_rows:
+                continue
+            held.append([array(c) for c in b.columns])
+            size += b.num_rows
             if size >= ROWS:
                 whole = [np.concatenate(x) for x in zip(*held, strict=True)]
                 last = np.searchsorted(whole[0], whole[0][-1])  # the last key may go on
                 if last:
-                    yield join(*[x[:last] for x in whole])
+                    yield from join(*[x[:last] for x in whole])
                 held, size = [[x[last:] for x in whole]], size - last
         if size:
-            yield join(*[np.concatenate(x) for x in zip(*held, strict=True)])
+            yield from join(*[np.concatenate(x) for x in zip(*held, strict=True)])
         del held
         give_back()
 
     n = int(tasks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return tasks.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint")
+    return tasks.select("key", "side", *columns).repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, names)
+
+
+def links(fps: DataFrame) -> DataFrame:
+    """a, b: a spanning forest, for each join task, of the links between distinct fingerprints (a column node)."""
+    blocks = F.explode(F.array(*[F.lit(i << 16).cast("bigint").bitwiseOR(F.shiftrightunsigned("node", 16 * i).bitwiseAND(F.lit(0xFFFF).cast("bigint"))) for i in range(BLOCKS)]))
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def join(key: np.ndarray, side: np.ndarray, node: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fp = node.view(np.uint64)
+        order = np.lexsort((fp, side, key))
+        key, side, fp, node = key[order], side[order], fp[order], node[order]
+        root = trie_forest(key, side, fp)
+        on = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[on]), pa.array(node[root[on]])], schema=schema)
+
+    return in_tasks(sliced(fps.select("node", blocks.alias("group"))), ["node"], join, "a bigint, b bigint")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -193,21 +212,35 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id that links reach) for each row.
 
-    Rows of one fingerprint are one class; a class is linked to those at most BUDGET bits away. Null and empty texts have fingerprint
-    zero and link as others do; repeated rows stay; a null doc_id names no component, unless its class has no other id. Other columns,
-    whatever their names, are left out. An empty table gives none.
+    Rows of one fingerprint are one class; a class is linked to those at most BUDGET bits away, whether its rows have ids or not. Null and
+    empty texts have fingerprint zero and link as others do; repeated rows stay; a null doc_id names no component, unless no row reached
+    has an id: then component_id is null. A very long text is fingerprinted whole. Other columns, whatever their names, are left out. An
+    empty table gives none.
     """
     fps = materialize(fingerprints(docs))
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    labels = components(links(classes.where("rep IS NOT NULL")))
-    named = materialize(classes.join(labels, classes["rep"] == labels["node"], "left").select("fp", F.coalesce("label", "rep").alias("component_id")))
+    classes = materialize(fps.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep")))
+    labels = components(links(classes.select("node")))
+    labelled = materialize(classes.join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")))
+    least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    named = materialize(labelled.join(least, "label").select(F.col("node").alias("fp"), "component_id"))
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``docs``, with its columns: the least doc_id, null last. Each row counts by itself, whatever its id."""
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*docs.columns).alias("doc")))
-    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text"))).select(F.col("doc_id").alias("row"), "component_id")
-    ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(found, "row")
+def first_of_each(rows: DataFrame, component: DataFrame) -> DataFrame:
+    """The rows (row, doc) that come first in their component (row, component_id), by doc_id, null last, and row: one of each."""
+    ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(component, "row")
     kept = materialize(ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))
     return rows.join(kept, "row", "left_semi").select("doc.*")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """row (unique), doc (all columns of ``docs``, whatever their names), written to the shared folder."""
+    return materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns_of(docs)).alias("doc")))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``docs``, with its columns: the least doc_id, null last. Each row counts by itself, whatever its id, so
+    rows that repeat an id and rows without one are copies as others are; null and empty texts are one component. An empty table gives none."""
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col("row").alias("doc_id"), F.col("doc.text").alias("text")))
+    return first_of_each(rows, found.select(F.col("doc_id").alias("row"), "component_id"))
