@@ -1,8 +1,9 @@
 """Byte-level BPE encoding and decoding by ranked merges.
 
 The rows of a task are gathered into blocks of bounded text and cut into distinct words; ranked merges run over each distinct
-word of a block once; the ids go back to the texts. There is no shuffle. fold_words() is the same fold in Spark's higher-order
-functions; interpreted, it takes several times the CPU seconds that a GB may take.
+word of a block once; the ids go back to the texts. There is no shuffle. Decoding concatenates the pieces of the ids in Spark's own
+functions. fold_words() is the same fold of merges in higher-order functions over a literal rank map; interpreted, it takes several times
+the CPU seconds that a GB may take.
 """
 
 from __future__ import annotations
@@ -17,9 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import batch_of, give_back, map_batches, rows_of
+from .common import give_back, map_batches, rows_of
 
 #: Fixed value: the rank that stands for "these two pieces do not merge".
 NONE = 2**31 - 1
@@ -116,14 +116,19 @@ def fold_merges(word: Column, ranks: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n - 1), start, step, lambda s: s["ids"])
 
 
+def literal(values: list, kind: str) -> Column:
+    """A constant array. Spark folds the split text once, so no row carries the array. Values have no commas and no quotes."""
+    return F.expr(f"cast(split('{','.join(map(str, values))}', ',') AS array<{kind}>)")
+
+
 def fold_words(words: DataFrame, ranks_path: str, pieces_col: str = "pieces", out_col: str = "ids") -> DataFrame:
     """Add the ids of each distinct word (array<int> of the ids of its single bytes) by a fold of higher-order functions alone.
 
-    It never leaves the JVM, but interpreted lambdas take about 0.1 ms a word; encode() merges the words of a block with numpy.
+    It never leaves the JVM, but interpreted lambdas take about 0.5 ms a word; encode() merges the words of a block with numpy.
     Words of one piece and null words stay as they are.
     """
-    table = words.sparkSession.createDataFrame([(rank_table(load_ranks(ranks_path)).tolist(),)], "ranks array<bigint>")
-    return words.join(F.broadcast(table)).withColumn(out_col, F.when(F.size(pieces_col) > 1, fold_merges(F.col(pieces_col), F.col("ranks"))).otherwise(F.col(pieces_col))).drop("ranks")
+    ranks = literal(rank_table(load_ranks(ranks_path)).tolist(), "bigint")
+    return words.withColumn(out_col, F.when(F.size(pieces_col) > 1, fold_merges(F.col(pieces_col), ranks)).otherwise(F.col(pieces_col)))
 
 
 class Encoder:
@@ -138,9 +143,6 @@ class Encoder:
         self.odd = re.compile(r" (?:\s|\Z)").search
         self.ranks, self.table = ranks, table
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
-        self.pieces = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self.pieces[rank] = token
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a.astype(np.int64) << 16 | b
@@ -204,8 +206,8 @@ class Encoder:
             out[k] = ids
         return out
 
-    def block(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
-        """ids and decoded bytes of each text. A text is first split before each space that a visible character follows (every match
+    def block(self, texts: list[str]) -> Iterator[bytes]:
+        """ids of each text. A text is first split before each space that a visible character follows (every match
         of the pattern ends there), so that the pattern runs over distinct chunks only. A str key is a chunk after a space, a tuple
         one that begins a text or a word of a text with odd spaces."""
         seen: defaultdict = defaultdict()
@@ -223,74 +225,83 @@ class Encoder:
         own = [(word(" " + key),) if isinstance(key, str) and key.isalpha() else tuple(map(word, words_of(" " + key if isinstance(key, str) else key[0]))) for key in seen]
         seen.default_factory = words.default_factory = None  # each is a cycle with its dictionary, which nobody would collect
         ids = self.word_ids(list(words))
-        pieces = self.pieces
-        plain = [b"".join([pieces[i] for i in np.frombuffer(x, "<u4").tolist()]) for x in ids]
         raw = [ids[w[0]] if len(w) == 1 else b"".join([ids[x] for x in w]) for w in own]
-        text = [plain[w[0]] if len(w) == 1 else b"".join([plain[x] for x in w]) for w in own]
         for c in chunks:
             c = c if isinstance(c, list) else c.tolist()
-            yield b"".join([raw[k] for k in c]), b"".join([text[k] for k in c])
+            yield b"".join([raw[k] for k in c])
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Encode every whole text by the ranks in ``ranks_path``, each match of ``pattern`` separately, without special tokens, and decode the ids.
+    """Encode every whole text by the ranks in ``ranks_path``, each match of ``pattern`` separately, without special tokens.
 
-    Returns id, n_tokens, ids (binary: little-endian unsigned 32-bit integers), decoded (binary), a row for each input row.
-    A null or empty text has no tokens; repeated rows and null ids stay; other columns, whatever their names, are left out.
+    Returns id, n_tokens, ids (array<int>), a row for each input row. A null or empty text has no tokens; repeated rows and null ids stay;
+    a very long text is encoded whole; other columns, whatever their names, are left out. An empty table gives none.
     One stage without a shuffle: a task holds a block of at most ``block_bytes`` characters, or one text, and a rank table as
     large as the vocabulary.
     """
     ranks = load_ranks(ranks_path)
     table = rank_table(ranks)
-    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
+    out = pa.schema([("id", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.list_(pa.int32()))])
+
+    def batch(ids: list, raws: list[bytes]) -> pa.RecordBatch:
+        sizes = np.array([len(r) // 4 for r in raws], np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(np.frombuffer(b"".join(raws), "<i4")))
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes), lists], schema=out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pattern, ranks, table)
-        gc.disable()  # block() leaves no cycles, and its passes over the dictionaries take a fifth of the time
 
         def finish(ids: list, texts: list[str]) -> Iterator[pa.RecordBatch]:
-            rows, held = [], 0
-            for i, (raw, plain) in zip(ids, encoder.block(texts), strict=True):
-                rows.append((i, len(raw) // 4, raw, plain))
-                held += len(raw) + len(plain)
+            own, raws, held = [], [], 0
+            for i, raw in zip(ids, encoder.block(texts), strict=True):
+                own.append(i)
+                raws.append(raw)
+                held += len(raw)
                 if held > 2 << 20:
-                    yield batch_of(rows, out)
-                    rows, held = [], 0
-            if rows:
-                yield batch_of(rows, out)
-
-        ids, texts, size = [], [], 0
-        for batch in batches:
-            for i, t in rows_of(batch):
-                ids.append(i)
-                texts.append(t or "")
-                size += len(t or "")
-                if size >= block_bytes:
-                    yield from finish(ids, texts)
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from finish(ids, texts)
+                    yield batch(own, raws)
+                    own, raws, held = [], [], 0
+            if own:
+                yield batch(own, raws)
+
+        collecting = gc.isenabled()
+        gc.disable()  # block() leaves no cycles, and passes over its dictionaries take a fifth of the time; a worker is used again, so:
+        try:
+            ids, texts, size = [], [], 0
+            for b in batches:
+                for i, t in rows_of(b):
+                    ids.append(i)
+                    texts.append(t or "")
+                    size += len(t or "")
+                    if size >= block_bytes:
+                        yield from finish(ids, texts)
+                        ids, texts, size = [], [], 0
+            if ids:
+                yield from finish(ids, texts)
+        finally:
+            if collecting:
+                gc.enable()
         del ids, texts, encoder
         give_back()
 
-    rows = map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n_tokens bigint, ids binary, decoded binary")
+    rows = map_batches(docs.select(F.col(id_col).cast("bigint"), F.col(text_col)), run, "id bigint, n_tokens bigint, ids array<int>")
     return rows.withColumnRenamed("id", id_col)
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """Add the bytes of an array<int> column of ids: the binary pieces of the ids, concatenated. Null ids give null, none give empty bytes."""
-    pieces = {rank: token for token, rank in load_ranks(ranks_path).items()}
-    table = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+def joined(ids: Column, pieces: list[bytes]) -> Column:
+    """The pieces of an array of ids, concatenated: a binary column. Ids outside the list have no bytes."""
+    table = literal([p.hex() for p in pieces], "string")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(table, i)), ""))
 
-    def join(batches):
-        for b in batches:
-            own = [None if x is None else b"".join([table[i] for i in x]) for x in b.column(b.schema.get_field_index(ids_col)).to_pylist()]
-            kept = [(n, b.column(k)) for k, n in enumerate(b.schema.names) if n != out_col]
-            yield pa.RecordBatch.from_arrays([c for _, c in kept] + [pa.array(own, pa.binary())], names=[n for n, _ in kept] + [out_col])
 
-    kept = [f for f in df.schema if f.name != out_col]
-    return df.mapInArrow(join, T.StructType([*kept, T.StructField(out_col, T.BinaryType())]))
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+    """Add the bytes of an array<int> column of ids: the binary pieces of the ids, concatenated in the JVM. Null ids give null, none give
+    empty bytes; an id that no rank has gives none."""
+    ranks = {rank: token for token, rank in load_ranks(ranks_path).items()}
+    return df.withColumn(out_col, joined(F.col(ids_col), [ranks.get(i, b"") for i in range(max(ranks) + 1)]))
 
 
-def digests(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    return encoded.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digests(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id") -> DataFrame:
+    """id, n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256 for each row of encode(): null and
+    empty texts have the digests of no bytes, repeated rows and null ids stay, an empty table gives none."""
+    little = joined(F.col("ids"), [i.to_bytes(4, "little") for i in range(max(load_ranks(ranks_path).values()) + 1)])
+    return decode(encoded, ranks_path).select(id_col, "n_tokens", F.sha2(little, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

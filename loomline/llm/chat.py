@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of
+from .common import batch_of, map_batches, rows_of
 
 #: The marks of the template.
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -120,7 +120,10 @@ def ordered(conversations: DataFrame) -> DataFrame:
 
 
 def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
-    """A row for each run of turns: conv_id, run, formatted, token_ids, mask. One run holds a whole conversation of up to RUN_CHARS."""
+    """A row for each run of turns: conv_id, run, formatted, token_ids, mask. One run holds a whole conversation of up to RUN_CHARS; a longer
+    one is encoded in several runs of whole turns, with the same tokens. Null texts and roles are empty; a null conv_id is a conversation;
+    null turns come first; repeated rows are turns of their own; a very long text is in one run. Other columns, whatever their names, are
+    left out. An empty table gives no rows."""
     schema = pa.schema([("conv_id", pa.int64()), ("run", pa.int32()), ("formatted", pa.string()), ("token_ids", pa.list_(pa.int32())), ("mask", pa.list_(pa.bool_()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,14 +134,14 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
             mask = loss_mask(np.array(encoded.offsets, np.int64).reshape(-1, 2), spans)
             yield batch_of([(conv, k, formatted, encoded.ids, mask.tolist())], schema)
 
-    return ordered(conversations).mapInArrow(run, "conv_id bigint, run int, formatted string, token_ids array<int>, mask array<boolean>")
+    return map_batches(ordered(conversations), run, "conv_id bigint, run int, formatted string, token_ids array<int>, mask array<boolean>")
 
 
 def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, int, list[tuple[str, str]]]]:
     """(conversation, number of the run, its turns) from ordered rows."""
     now, number, turns, size = object(), 0, [], 0
     for b in batches:
-        for conv, role, text in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+        for conv, _, role, text in rows_of(b):
             if conv != now:
                 if turns:
                     yield now, number, turns
@@ -177,4 +180,4 @@ def digests(conversations: DataFrame, tokenizer_path: str) -> DataFrame:
         if digest:
             yield batch_of([*rows, digest.row()], schema)
 
-    return ordered(conversations).mapInArrow(run, ", ".join(f"{n} {'string' if 'sha256' in n else 'bigint'}" for n in names))
+    return map_batches(ordered(conversations), run, ", ".join(f"{n} {'string' if 'sha256' in n else 'bigint'}" for n in names))

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_of, give_back, map_batches, materialize, rows_of
+from .common import batch_of, columns_of, give_back, map_batches, materialize, rows_of
 
 #: Documents that the model is fitted on, at most, and characters of them in all.
 SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
@@ -133,14 +133,17 @@ def training_ids(labels: DataFrame, limit: int = SAMPLE_DOCS) -> DataFrame:
 
 def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     """Fit on the labelled training documents, ``limit`` of them and SAMPLE_CHARS characters at most: by their ids' hash, whatever their
-    length, the last text cut to what is left."""
+    length, the last text cut to what is left and those after it left out. An id that repeats is fitted on one of its texts, that of least
+    hash. Null and empty texts are examples too. Without labels of both kinds, all documents get the score of the one there is, or are
+    kept. Only the bounded sample comes to the driver."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = materialize(texts.join(F.broadcast(training_ids(labels, limit)), "doc_id").withColumn("h", F.xxhash64("text")))
-    sizes = sample.groupBy("doc_id", "h").agg(F.max(F.length("text")).alias("n"), F.count("*").alias("copies"))
-    before = F.coalesce(F.sum(F.col("n") * F.col("copies")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id", "h").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    taken = sizes.withColumn("room", F.floor((SAMPLE_CHARS - before) / F.col("copies")).cast("int")).where("room > 0").select("doc_id", "h", "room")
-    cut = sample.join(F.broadcast(taken), ["doc_id", "h"]).select("doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"), "label")
-    rows = sorted(cut.toLocalIterator(), key=lambda r: (len(r.text), r.doc_id, r.text))
+    known = texts.join(F.broadcast(training_ids(labels, limit)), "doc_id")
+    sample = materialize(known.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("doc_id", "label", F.col("t.text").alias("text")))
+    room = W.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(W.unboundedPreceding, -1)  # over ``limit`` rows without texts
+    sizes = sample.select("doc_id", F.length("text").alias("n"))
+    taken = sizes.select("doc_id", (SAMPLE_CHARS - F.coalesce(F.sum("n").over(room), F.lit(0))).cast("int").alias("room")).where("room > 0")
+    cut = sample.join(F.broadcast(taken), "doc_id").select("doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"), "label")
+    rows = sorted(cut.collect(), key=lambda r: (len(r.text), r.doc_id, r.text))
     return train([r.text for r in rows], [1 if r.label == 1 else 0 for r in rows])
 
 
@@ -162,14 +165,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the model does not reject, with their columns."""
+    """The rows of ``docs`` that the model does not reject, with their columns, whatever their names. Null and empty texts are scored by the
+    empty feature; repeated rows and null ids are judged row by row; very long texts are scored whole. An empty table gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = model.scorer()
         for b in batches:
-            texts = rows_of(b.select([b.schema.get_field_index("text")]))
-            yield b.filter(pa.array([scorer(t or "") >= THRESHOLD for (t,) in texts], pa.bool_()))
+            kept = pa.array([scorer(t or "") >= THRESHOLD for (t,) in rows_of(b.select([1]))], pa.bool_())
+            yield b.select([0]).filter(kept)
         del scorer
         give_back()
 
-    return map_batches(docs, run, docs.schema)
+    rows = docs.select(F.struct(*columns_of(docs)).alias("doc"), "text")
+    return map_batches(rows, run, rows.select("doc").schema).select("doc.*")

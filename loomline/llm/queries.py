@@ -41,8 +41,8 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    docs = read(spark, sf_dir, "documents")
-    return bpe.digests(bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.encode(read(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
 
 
 def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

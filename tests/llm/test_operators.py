@@ -69,8 +69,8 @@ def test_bpe_equals_tiktoken_and_its_fold(spark):
     texts = ["foo  bar", " a", "a ", "\n\n x \n \n y", "don't 'll  \x1c\x1d b\x85c  d　e", "x" * 300 + " " + "ab" * 200, "日本語 テキスト٣٤ ½", "", " ", "  a b", "a\n b\n\n  c", "É" * 100]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    for r in bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=50).collect():
-        assert np.frombuffer(r.ids, "<u4").tolist() == enc.encode_ordinary(texts[r.doc_id])
+    for r in bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=50), path).collect():
+        assert r.ids == enc.encode_ordinary(texts[r.doc_id]) and r.n_tokens == len(r.ids)
         assert bytes(r.decoded) == texts[r.doc_id].encode()
     words = ["ouvipa", " thshst", "éonçé", "a"]
     pieces = [(k, [ranks[bytes([b])] for b in w.encode()]) for k, w in enumerate(words)]
