@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, map_batches, rows_of
+from .common import batch_of, give_back, map_batches, rows_of
 
 #: Bytes of a window (a power of two); windows of a neighbourhood (no more than bytes of a window); neighbourhoods that a feature must be
 #: the rarest of.
@@ -186,6 +186,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 if ends[k] == own:
                     out.append(((k + 1) % len(ends), True, i, own[2], packed))
             yield batch_of(out, dealt)
+        give_back()
 
     names = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
@@ -207,7 +208,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         part = None
         for b in batches:
             for p, extra, i, _, packed in rows_of(b):
-                if p != part or size > 4 << 20:
+                if p != part or size > 1 << 20:
                     if len(held) > 1:
                         yield finish()
                     held, size = held[-1:] if p == part else [], 0
@@ -217,6 +218,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 size += len(text)
         if len(held) > 1:
             yield finish()
+        held.clear()
+        give_back()
 
     spread = map_batches(ids, deal, "part int, extra boolean, doc_id bigint, tie string, text binary")
     order = ["part", "extra", F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
