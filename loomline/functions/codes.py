@@ -19,6 +19,11 @@ RELATIONS = {"contains": (["product"], ["substance"]), "describes": (["descripti
 UNITS = {"weight": {"g": 1, "kg": 1000}, "width": {"mm": 1, "cm": 10}, "depth": {"mm": 1, "cm": 10}, "length": {"mm": 1, "cm": 10}}
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: the optimizer would write it out wherever body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def trim(value: Column) -> Column:
     """Without white space of any kind at either end (Spark's trim takes spaces only)."""
     return F.regexp_replace(value, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
@@ -36,6 +41,11 @@ def canonical(scheme: Column, value: Column) -> Column:
     return F.struct(F.when(gtin, F.lit("gtin")).otherwise(scheme).alias("scheme"), F.when(gtin, F.lpad(v, 14, "0")).otherwise(padded).alias("value"))
 
 
+def same(scheme: Column, value: Column, other_scheme: Column, other_value: Column) -> Column:
+    """Whether two codes are one, however they are written."""
+    return canonical(scheme, value) == canonical(other_scheme, other_value)
+
+
 def _digit(value: Column, at: Column) -> Column:
     return F.substring(value, at, F.lit(1)).cast("int")
 
@@ -110,11 +120,16 @@ def isbn13(raw: Column) -> Column:
 
 def quantity(field: Column, value: Column) -> Column:
     """'<number>_<unit>' of a declared field in its base unit, as a string; a whole number where it is one, other values as they are."""
-    number, unit = F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]+)?)_([a-z]+)$", 1), F.regexp_extract(value, r"_([a-z]+)$", 1)
-    factor = F.coalesce(*[F.when((field == f) & (unit == u), F.lit(k)) for f, us in UNITS.items() for u, k in us.items()])
-    scaled = number.try_cast("double") * factor
-    whole = F.abs(scaled - F.round(scaled)) < 1e-9
-    return F.when((number != "") & factor.isNotNull(), F.when(whole, F.round(scaled).cast("bigint").cast("string")).otherwise(scaled.cast("string"))).otherwise(value)
+    factors = {f"{f}_{u}": float(k) for f, us in UNITS.items() for u, k in us.items()}
+    table = F.create_map(*[F.lit(x) for pair in factors.items() for x in pair])
+    factor = F.try_element_at(table, F.concat_ws("_", field, F.regexp_extract(value, r"^[0-9]+(?:\.[0-9]+)?_([a-z]+)$", 1)))
+    scaled = F.regexp_extract(value, r"^([0-9]+(?:\.[0-9]+)?)_", 1).try_cast("double") * factor
+
+    def told(x: Column) -> Column:
+        whole = F.abs(x - F.round(x)) < 1e-9
+        return F.when(x.isNull(), value).when(whole, F.round(x).cast("bigint").cast("string")).otherwise(x.cast("string"))
+
+    return let(scaled, told)
 
 
 def parse(code: Column) -> Column:

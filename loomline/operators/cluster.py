@@ -27,23 +27,23 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "component")
 
 
-def _distinct_values(codes: set, allowed: set) -> bool:
+def _distinct_values(codes: set, allowed: set, unique: tuple) -> bool:
     """Whether one national scheme has two values that nothing says are one."""
     by: dict = {}
     for scheme, value in codes:
-        if scheme in NATIONAL:
+        if scheme in unique:
             by.setdefault(scheme, []).append((scheme, value))
     return any(tuple(p) not in allowed for own in by.values() for p in combinations(sorted(own), 2))
 
 
-def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, same: set) -> list[list[tuple]]:
+def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, same: set, unique: tuple = NATIONAL, barcode: tuple = BARCODE) -> list[list[tuple]]:
     """Union-find over distinct code sets in the order of their edges (kind, code, left, right). An edge is refused if the union holds a
     pair marked distinct, or (unless marked same) two values of a national scheme, or if a barcode alone would join two sets that
     each have another kind of code."""
     sets = sorted({tuple(sorted(s)) for s in sets})
     parent, codes = list(range(len(sets))), [set(s) for s in sets]
-    national = [{c for c in s if c[0] in NATIONAL} for s in sets]
-    stands = [any(c[0] not in BARCODE for c in s) for s in sets]
+    national = [{c for c in s if c[0] in unique} for s in sets]
+    stands = [any(c[0] not in barcode for c in s) for s in sets]
 
     def root(k: int) -> int:
         while parent[k] != k:
@@ -55,7 +55,7 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
     for k, s in enumerate(sets):
         for c in s:
             holders.setdefault(c, []).append(k)
-    mark = {k: ([c for c in s if c[0] in NATIONAL], s) for k, s in enumerate(sets)}
+    mark = {k: ([c for c in s if c[0] in unique], s) for k, s in enumerate(sets)}
     edges, fine = [], allowed | same
     for code, own in holders.items():
         if code not in shared:
@@ -69,7 +69,7 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
             continue
         refused = any((x in codes[a] or x in codes[b]) and (y in codes[a] or y in codes[b]) for x, y in distinct)
         if not kind:
-            refused = refused or _distinct_values(national[a] | national[b], fine) or bridge[0][0] in BARCODE and stands[a] and stands[b]
+            refused = refused or _distinct_values(national[a] | national[b], fine, unique) or bridge[0][0] in barcode and stands[a] and stands[b]
         if not refused:
             low, high = min(a, b), max(a, b)
             parent[high], stands[low] = low, stands[a] or stands[b]
@@ -81,39 +81,71 @@ def guard(sets: list[list[tuple]], shared: set, allowed: set, distinct: set, sam
     return sorted(sorted(codes[k]) for k in {root(k) for k in range(len(sets))})
 
 
+def ungated(placed: DataFrame) -> DataFrame:
+    """component: those in which the guard has nothing to refuse, whatever the order of edges. No national scheme has two values, and
+    either one distinct set at most has other codes than barcodes, or no barcode is in two sets. From (component, set, scheme, value)."""
+    national = placed.where(F.col("scheme").isin(*NATIONAL)).groupBy("component", "scheme").agg((F.min("value") != F.max("value")).alias("differ"))
+    contested = national.where("differ").select("component")
+    barcodes = placed.where(F.col("scheme").isin(*BARCODE)).groupBy("component", "scheme", "value").agg((F.min("set") != F.max("set")).alias("met")).where("met").select("component").distinct()
+    standing = placed.where(~F.col("scheme").isin(*BARCODE)).groupBy("component").agg((F.min("set") != F.max("set")).alias("many")).where("many").select("component")
+    held = contested.union(barcodes.join(standing, "component", "left_semi"))
+    return placed.select("component").distinct().join(held, "component", "left_anti")
+
+
 def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
-    """cluster (its number in its component), component, scheme, value from listings(listing, scheme, value).
+    """component, cluster (its number in its component), scheme, value from listings(listing, scheme, value and, where lanes are kept
+    apart, lane); with lane where that is given.
 
     The guard only refuses edges, so its clusters lie within the components of the unguarded graph and each component is decided alone.
-    Pairs that one listing asserts together are gathered over all components first, as a shared code's pair may lie in another one.
-    ``shared`` has scheme, value; ``distinct`` and ``same`` have l_scheme, l_value, r_scheme, r_value and are bounded by stewards' work.
+    A component in which nothing can be refused is one cluster without it, so a hub of any size stays in Spark's own joins; the others
+    are folded one a task, in the order of their edges, over distinct sets. Pairs that one listing asserts together are gathered over
+    all components first, as a shared code's pair may lie in another one. ``shared`` has scheme, value and may be as large as the
+    listings; ``distinct`` and ``same`` have l_scheme, l_value, r_scheme, r_value and are bounded by stewards' work.
     """
     spark = listings.sparkSession
-    code = F.concat_ws("\x1f", "scheme", "value")
-    keyed = listings.select("listing", "scheme", "value", code.alias("code")).distinct()
-    bridging = keyed if shared is None else keyed.join(shared.select(code.alias("code")), "code", "left_anti")
-    edges = bridging.select(F.concat(F.lit("l"), F.col("listing").cast("string")).alias("a"), F.concat(F.lit("c"), "code").alias("b"))
-    pairs = lambda df: {tuple(sorted([(r[0], r[1]), (r[2], r[3])])) for r in df.collect()} if df is not None else set()
+    lanes = "lane" in listings.columns
+    rows = (listings if lanes else listings.withColumn("lane", F.lit(""))).select("lane", F.col("listing").cast("string").alias("listing"), "scheme", "value").distinct()
+    code = F.concat_ws("\x1f", "lane", "scheme", "value")
+    never = F.lit(False)
+    if shared is not None:
+        rows = rows.join(shared.select("scheme", "value").distinct().withColumn("never", F.lit(True)), ["scheme", "value"], "left")
+        never = F.coalesce("never", F.lit(False))
+    keyed = stored(rows.select("lane", "listing", "scheme", "value", never.alias("never"), code.alias("code")))
+    # Listings of one set are one node, so that two that assert equal shared codes only are one set for the guard too.
+    whole = keyed.groupBy("lane", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value"))).alias("codes"))
+    said = F.transform("codes", lambda c: F.concat_ws("\x1f", c["scheme"], c["value"]))
+    of_set = whole.select("lane", "listing", F.md5(F.concat_ws("\x1e", "lane", said)).alias("set"))
+    held = keyed.join(of_set, ["lane", "listing"])
+    sets = stored(held.groupBy("lane", "set", "scheme", "value", "code").agg(F.max("never").alias("never"), F.min("listing").alias("listing")))
+    node = F.concat(F.lit("s"), "set")
+    edges = sets.where("NOT never").select(node.alias("a"), F.concat(F.lit("c"), "code").alias("b"))
+    pairs = lambda df: {tuple(sorted([(r[0], r[1]), (r[2], r[3])])) for r in df.select("l_scheme", "l_value", "r_scheme", "r_value").distinct().collect()} if df is not None else set()
     apart, joined = pairs(distinct), pairs(same)
     if joined:
-        extra = spark.createDataFrame([(f"c{a[0]}\x1f{a[1]}", f"c{b[0]}\x1f{b[1]}") for a, b in joined], "a string, b string")
-        edges = edges.union(extra)
-    found = components(edges).where("node LIKE 'l%'").select(F.expr("substring(node, 2)").alias("name"), "component")
-    placed = keyed.withColumn("name", F.col("listing").cast("string")).join(found, "name", "left").withColumn("component", F.coalesce("component", F.concat(F.lit("l"), "name")))
-    national = keyed.where(F.col("scheme").isin(*NATIONAL))
-    other = national.select("listing", "scheme", F.col("value").alias("right"))
-    allowed = national.join(other, ["listing", "scheme"]).where("value < right").select("scheme", F.col("value").alias("left"), "right").distinct()
-    placed = stored(placed)
-    of = lambda side: placed.select("component", "scheme", F.col("value").alias(side)).distinct()
-    near = stored(allowed).join(of("left"), ["scheme", "left"]).join(of("right"), ["component", "scheme", "right"]).select("component", "scheme", "left", "right").toDF("near", "near_scheme", "left", "right")
-    never = {(r[0], r[1]) for r in shared.select("scheme", "value").collect()} if shared is not None else set()
+        ends = spark.createDataFrame([(n, *a) for n, p in enumerate(sorted(joined)) for a in p], "pair int, scheme string, value string")
+        edges = edges.union(sets.join(F.broadcast(ends), ["scheme", "value"]).select(node.alias("a"), F.concat(F.lit("p"), "pair").alias("b")))
+    found = components(edges).where("node LIKE 's%'").select(F.expr("substring(node, 2)").alias("set"), "component")
+    placed = stored(sets.join(found, "set", "left").withColumn("component", F.coalesce("component", node)))
+    national = placed.where(F.col("scheme").isin(*NATIONAL)).select("set", "scheme", "value")
+    allowed = national.join(national.withColumnRenamed("value", "right"), ["set", "scheme"]).where("value < right").select("scheme", F.col("value").alias("left"), "right").distinct()
+    easy = ungated(placed)
+    if apart:
+        named = spark.createDataFrame([c for p in apart for c in p], "scheme string, value string").distinct()
+        easy = easy.join(placed.join(F.broadcast(named), ["scheme", "value"], "left_semi").select("component"), "component", "left_anti")
+    easy = stored(easy)
+    lane_of = ["lane"] if lanes else []
+    plain = placed.join(easy, "component", "left_semi").select("component", F.lit(0).alias("cluster"), *lane_of, "scheme", "value").distinct()
+    hard = stored(placed.join(easy, "component", "left_anti"))
+    side = lambda n: hard.where(F.col("scheme").isin(*NATIONAL)).select("component", "scheme", F.col("value").alias(n)).distinct()
+    near = stored(allowed).join(side("left"), ["scheme", "left"]).join(side("right"), ["component", "scheme", "right"]).select("component", "scheme", "left", "right").toDF("near", "near_scheme", "left", "right")
 
     def run(key, rows: pd.DataFrame, ok: pd.DataFrame) -> pd.DataFrame:
-        sets = [list(zip(g["scheme"], g["value"], strict=True)) for _, g in rows.groupby("listing")]
+        sets = [list(zip(g["scheme"], g["value"], strict=True)) for _, g in rows.groupby("set")]
+        never = set(zip(rows["scheme"][rows["never"]], rows["value"][rows["never"]], strict=True))
         allow = {((s, a), (s, b)) for s, a, b in zip(ok["near_scheme"], ok["left"], ok["right"], strict=True)}
-        out = [(key[0], k, s, v) for k, c in enumerate(guard(sets, never, allow, apart, joined)) for s, v in c]
-        return pd.DataFrame(out, columns=["component", "cluster", "scheme", "value"])
+        lane = rows["lane"].iloc[0] if len(rows) else ""
+        out = [(key[0], k, lane, s, v) for k, c in enumerate(guard(sets, never, allow, apart, joined)) for s, v in c]
+        return pd.DataFrame(out, columns=["component", "cluster", "lane", "scheme", "value"])
 
-    own = placed.groupBy("component", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value"))).alias("codes"))
-    sets = own.groupBy("component", "codes").agg(F.min("listing").alias("listing")).select("component", "listing", F.inline("codes"))  # the guard decides over distinct sets
-    return sets.groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, "component string, cluster int, scheme string, value string")
+    folded = hard.select("component", "lane", "set", "scheme", "value", "never").groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, "component string, cluster int, lane string, scheme string, value string")
+    return plain.unionByName(folded.select("component", "cluster", *lane_of, "scheme", "value"))

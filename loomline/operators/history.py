@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,38 +18,6 @@ def set_periods(events: DataFrame, key: str, at: str, state: str, order: list[st
     return changed.select(key, F.col("e.state").alias("state"), F.col("day").alias("from_day"), F.lead("day").over(by).alias("to_day"))
 
 
-def code_set_periods(events: DataFrame) -> DataFrame:
-    """listing, from, to, codes from identity events(listing, seq, op, scheme, code, at): set, add, remove and delete replayed in order,
-    equal runs joined, a later set of one UTC day replacing the day's earlier one; an empty set is kept. One listing's events are
-    folded at a time."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        held: dict[str, set] = {}
-        periods: list[list] = []
-        for op, scheme, code, at in rows.sort_values("seq")[["op", "scheme", "code", "at"]].itertuples(index=False):
-            if op == "set" and code is not None:
-                held[scheme] = {code}
-            elif op == "add":
-                held.setdefault(scheme, set()).add(code)
-            elif op == "remove":
-                held.get(scheme, set()).discard(code)
-            else:
-                held.pop(scheme, None)
-            codes = sorted(f"{s}:{c}" for s, own in held.items() for c in own)
-            if periods and periods[-1][2] == codes:
-                continue
-            if periods and periods[-1][0] // DAY == at // DAY:
-                periods[-1][2] = codes
-                continue
-            if periods:
-                periods[-1][1] = at
-            periods.append([at, None, codes])
-        out = pd.DataFrame([(rows["listing"].iloc[0], a, b, c) for a, b, c in periods], columns=["listing", "from_at", "to_at", "codes"])
-        return out.astype({"to_at": "Int64"})
-
-    return events.groupBy("listing").applyInPandas(fold, "listing string, from_at bigint, to_at bigint, codes array<string>")
-
-
 def as_of(points: DataFrame, facts: DataFrame, key: str, at: str, value: str) -> DataFrame:
     """Add the value of the last fact of the key at or before each point, or else of its first. One shuffle by key: facts and points are
     sorted together, so no pair of them is formed."""
@@ -66,25 +33,3 @@ def selected(revisions: DataFrame, keys: list[str], condition: Column, order: li
     """The last revision of each record among those that the two clocks admit."""
     rest = [c for c in revisions.columns if c not in keys]
     return revisions.where(condition).groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("r")).select(*keys, "r.*")
-
-
-def lifecycle(changes: DataFrame) -> DataFrame:
-    """The state of each record after changes(ref, seq, operation, field, value): replace takes the whole record, patch one field, withdraw
-    ends it and reactivate begins it anew; what a withdrawn or unknown record cannot do is refused. One record is folded at a time."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        state, fields, refused = "unknown", {}, 0
-        for op, field, value in rows.sort_values("seq")[["operation", "field", "value"]].itertuples(index=False):
-            if op == "replace" and state != "withdrawn":
-                state, fields = "active", {field: value}
-            elif op == "patch" and state == "active":
-                fields[field] = value
-            elif op == "withdraw" and state == "active":
-                state, fields = "withdrawn", {}
-            elif op == "reactivate" and state == "withdrawn":
-                state, fields = "active", {field: value}
-            else:
-                refused += 1
-        return pd.DataFrame([(rows["ref"].iloc[0], state, len(rows), refused, sorted(fields))], columns=["ref", "state", "changes", "refused", "fields"])
-
-    return changes.groupBy("ref").applyInPandas(fold, "ref string, state string, changes int, refused int, fields array<string>")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: The rank of a source that no tier names: after every tier, and equal to its like.
@@ -13,7 +12,7 @@ UNRANKED = 2147483647
 def ranked(entries: DataFrame, priority: DataFrame, dimension: str = "field") -> DataFrame:
     """Add rank from priority(dimension, source, rank). A dimension that has tiers never falls back to '*'; others use it."""
     own = priority.select(F.col("dimension").alias(dimension)).distinct().withColumn("__has", F.lit(True))
-    keyed = entries.join(F.broadcast(own), dimension, "left").withColumn("__dim", F.when(F.col("__has"), F.col(dimension)).otherwise(F.lit("*")))
+    keyed = entries.join(own, dimension, "left").withColumn("__dim", F.when(F.col("__has"), F.col(dimension)).otherwise(F.lit("*")))
     tiers = priority.select(F.col("dimension").alias("__dim"), F.col("source"), "rank")
     return keyed.join(tiers, ["__dim", "source"], "left").withColumn("rank", F.coalesce("rank", F.lit(UNRANKED))).drop("__dim", "__has")
 
@@ -37,16 +36,6 @@ def decide(entries: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def product_decision(entries: DataFrame, keys: list[str]) -> DataFrame:
-    """decide(), and contested: whether all sources, of any rank, name more than one value."""
-    number = entries.groupBy(*keys).agg((F.countDistinct("value") > 1).alias("contested"))
-    return decide(entries, keys).join(number, keys)
-
-
 def score_rank(score: Column, tie: Column) -> Column:
     """Rank of a scored source: higher scores first, then the tie index."""
     return (-score * 1_000_000 + tie).cast("bigint")
-
-
-def first_per(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where("__n = 1").drop("__n")

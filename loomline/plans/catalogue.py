@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions import codes, temporal
-from loomline.operators import cluster, history, ledger, slots, survivorship
+from loomline.operators import catalog, cluster, history, ledger, legacy, mapping, parity, slots, survivorship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -46,7 +46,11 @@ CLAIMS = """claims AS (SELECT l_suppkey AS source, l_partkey AS code, l_shipdate
 
 
 def current(spark: SparkSession, d: str) -> DataFrame:
-    return slots.current(claims(spark, d), ["source", "code", "field"], ORDER)
+    """The live claims. Both fields of a line item are claimed together, so the last line of a source and code has the last of both."""
+    rows = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("code"), F.to_date("l_shipdate").alias("day"), "l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    last = slots.current(rows, ["source", "code"], ORDER)
+    fields = F.explode(F.array(F.struct(F.lit("returnflag").alias("field"), F.col("l_returnflag").alias("value")), F.struct(F.lit("linestatus").alias("field"), F.col("l_linestatus").alias("value"))))
+    return last.select("source", "code", "day", "l_orderkey", "l_linenumber", fields.alias("f")).select("source", "code", "day", "l_orderkey", "l_linenumber", "f.*")
 
 
 CURRENT = CLAIMS + ",\ncurrent AS (SELECT * FROM claims QUALIFY row_number() OVER (PARTITION BY source, code, field ORDER BY day DESC, l_orderkey DESC, l_linenumber DESC) = 1)"
@@ -135,24 +139,28 @@ def attribute_ties(spark, d):
     return decisions(spark, d).where("status = 'needs_review'").select("code", "field")
 
 
-GROUPED = "g AS (SELECT l_partkey AS code, l_suppkey AS source, arg_max(l_orderkey % 3, (l_shipdate, l_orderkey, l_linenumber)) AS value FROM lineitem GROUP BY ALL)"
+PRODUCT = "CASE WHEN l_partkey % 4 = 0 THEN l_orderkey % 3 ELSE l_partkey % 3 END"
 
 
 def groupings(spark, d) -> DataFrame:
-    rows = table(spark, d, "lineitem").select(F.col("l_partkey").alias("code"), F.col("l_suppkey").alias("source"), (F.col("l_orderkey") % 3).alias("value"), F.col("l_shipdate").alias("day"), "l_orderkey", "l_linenumber")
-    return survivorship.latest_per_source(rows, ["code"], ORDER)
+    """Every line groups its part under a product; a quarter of the parts under several."""
+    product = F.when(F.col("l_partkey") % 4 == 0, F.col("l_orderkey") % 3).otherwise(F.col("l_partkey") % 3)
+    order = F.struct(F.col("l_shipdate").alias("day"), "l_orderkey", "l_linenumber")
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("source"), product.alias("value"), order.alias("order"))
 
 
-@query(f"WITH {GROUPED}, r AS (SELECT *, source % 4 AS rank, min(source % 4) OVER (PARTITION BY code) AS best FROM g) "
-       "SELECT code, count(DISTINCT value) > 1 AS contested, CASE WHEN count(DISTINCT value) FILTER (rank = best) = 1 THEN min(value) FILTER (rank = best) END AS product FROM r GROUP BY code")
+@query(f"""WITH g AS (SELECT l_partkey AS key, l_suppkey AS source, {PRODUCT} AS value, (l_shipdate, l_orderkey, l_linenumber) AS o FROM lineitem), n AS (SELECT key, count(DISTINCT value) > 1 AS several FROM g GROUP BY key),
+l AS (SELECT key, source, arg_max(value, o) AS value FROM g GROUP BY ALL), w AS (SELECT key, arg_min(source, (source % 4, source)) AS winner, arg_min(value, (source % 4, source)) AS value FROM l GROUP BY key)
+SELECT key, CASE WHEN NOT several THEN value END AS product, CASE WHEN NOT several THEN winner END AS winner, CASE WHEN several THEN 'needs_review' ELSE 'resolved' END AS status FROM n JOIN w USING (key)""")
 def product_decision(spark, d):
-    ranked = groupings(spark, d).withColumn("rank", F.col("source") % 4)
-    return survivorship.product_decision(ranked, ["code"]).select("code", "contested", F.col("value").alias("product"))
+    return catalog.contested(groupings(spark, d), ["key"], lambda _, source: source % 4).select("key", F.col("value").alias("product"), "winner", "status")
 
 
-@query(f"WITH {GROUPED} SELECT code, count(DISTINCT value) AS products FROM g GROUP BY code HAVING count(DISTINCT value) > 1")
+@query(f"SELECT l_partkey AS key, string_agg(DISTINCT ({PRODUCT})::VARCHAR, ',' ORDER BY ({PRODUCT})::VARCHAR) AS products FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT {PRODUCT}) > 1")
 def code_collisions(spark, d):
-    return groupings(spark, d).groupBy("code").agg(F.countDistinct("value").alias("products")).where("products > 1")
+    rows = groupings(spark, d).select(F.col("key").alias("code"), F.col("value").alias("product"), F.lit("grouping").alias("kind"))
+    members = rows.select(F.lit("product").alias("lane"), F.col("code").alias("key"), "code").distinct()
+    return catalog.collisions(members, rows).select("key", F.array_join(F.col("products").cast("array<string>"), ",").alias("products"))
 
 
 @query("""WITH o AS (SELECT DISTINCT l_partkey AS code, l_suppkey AS source FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
@@ -258,37 +266,48 @@ def quantity_normalize(spark, d):
 
 
 # Catalog: parts contain suppliers' substances, nations describe suppliers.
-CONTAINS = "contains AS (SELECT DISTINCT l_partkey AS product, l_suppkey AS substance FROM lineitem WHERE l_quantity >= 40)"
-
-
-def contains(spark, d) -> DataFrame:
-    return table(spark, d, "lineitem").where("l_quantity >= 40").select(F.col("l_partkey").alias("product"), F.col("l_suppkey").alias("substance")).distinct()
+CONTAINS = "contains AS (SELECT DISTINCT l_partkey AS product, l_suppkey AS substance FROM lineitem)"
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, coalesce('SK_' || c_custkey, 'o:' || l_orderkey) AS owner FROM lineitem LEFT JOIN customer ON c_custkey = l_orderkey AND c_acctbal > 0""")
-def owner_fallback_join(spark, d):
-    owned = table(spark, d, "customer").where("c_acctbal > 0").select(F.col("c_custkey").alias("l_orderkey"), F.concat(F.lit("SK_"), "c_custkey").alias("key"))
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return rows.join(owned, "l_orderkey", "left").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.coalesce("key", F.concat(F.lit("o:"), "l_orderkey")).alias("owner"))
+def graph(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Members and live edges: parts are products, suppliers substances, nations descriptions. A part contains its suppliers, a nation
+    describes its suppliers, and hides itself from the parts of its size class."""
+    name = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    part, supplier, nation = (table(spark, d, t) for t in ("part", "supplier", "nation"))
+    member = lambda df, lane, c: df.select(F.lit(lane).alias("lane"), name("K", c).alias("key"), name(f"{lane}:", c).alias("code"))
+    members = member(part, "product", "p_partkey").union(member(supplier, "substance", "s_suppkey")).union(member(nation, "description", "n_nationkey"))
+    edge = lambda df, a, relation, b: df.select(F.lit("edge").alias("kind"), a.alias("code"), F.lit(relation).alias("relation"), b.alias("to"), F.lit("s").alias("source"), F.lit(0).alias("order"))
+    contains = edge(table(spark, d, "lineitem"), name("product:", "l_partkey"), "contains", name("substance:", "l_suppkey")).distinct()
+    describes = edge(supplier, name("description:", "s_nationkey"), "describes", name("substance:", "s_suppkey"))
+    hidden = part.withColumn("h", F.explode(F.sequence(F.col("p_size") % 7, F.lit(24), F.lit(7))))
+    return members, contains.union(describes).union(edge(hidden, name("description:", "h"), "suppress", name("product:", "p_partkey")))
 
 
-@query(f"WITH {CONTAINS} SELECT product, string_agg(substance, ',' ORDER BY substance) AS substances FROM contains GROUP BY product")
+@query(f"WITH {CONTAINS} SELECT 'K' || product AS key, string_agg('K' || substance, ',' ORDER BY 'K' || substance) AS substances FROM contains GROUP BY product")
 def substances(spark, d):
-    return contains(spark, d).groupBy("product").agg(F.array_join(F.array_sort(F.collect_set("substance")).cast("array<string>"), ",").alias("substances"))
+    members, live = graph(spark, d)
+    return catalog.substances(members, live).groupBy("key").agg(F.array_join(F.array_sort(F.collect_list("substance")), ",").alias("substances"))
 
 
-@query(f"""WITH {CONTAINS} SELECT DISTINCT product, s_nationkey AS description FROM contains JOIN supplier ON s_suppkey = substance
+@query(f"""WITH {CONTAINS} SELECT DISTINCT 'K' || product AS key, 'K' || s_nationkey AS description, 'substance:K' || substance AS via FROM contains JOIN supplier ON s_suppkey = substance
 WHERE NOT EXISTS (SELECT 1 FROM part WHERE p_partkey = product AND p_size % 7 = s_nationkey % 7)""")
 def descriptions_two_hop_suppress(spark, d):
-    describes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("substance"), F.col("s_nationkey").alias("description"))
-    hidden = table(spark, d, "part").select(F.col("p_partkey").alias("product"), (F.col("p_size") % 7).alias("h"))
-    return contains(spark, d).join(describes, "substance").select("product", "description").distinct().withColumn("h", F.col("description") % 7).join(hidden, ["product", "h"], "left_anti").select("product", "description")
+    members, live = graph(spark, d)
+    return catalog.descriptions(members, live).select("key", "description", "via")
 
 
-@query("""SELECT source AS target, md5(coalesce(text, '')) AS asset, min(doc_id) AS doc_id FROM documents GROUP BY source, md5(coalesce(text, ''))""")
+@query("""WITH d AS (SELECT doc_id % 500 AS target, md5(coalesce(text, '')) AS asset, CASE WHEN doc_id % 3 = 0 THEN 'primary' ELSE 'secondary' END AS role, 's' || doc_id % 7 AS source, doc_id FROM documents),
+l AS (SELECT target, asset, source, arg_max(role, doc_id) AS role, max(doc_id) AS doc_id FROM d GROUP BY ALL)
+SELECT 'K' || target AS key, asset, arg_min(role, (substr(source, 2)::INT % 3, source)) AS role, arg_min(source, (substr(source, 2)::INT % 3, source)) AS source FROM l GROUP BY ALL""")
 def media_dedup(spark, d):
-    asset = F.md5(F.coalesce("text", F.lit("")))
-    return table(spark, d, "documents").groupBy(F.col("source").alias("target"), asset.alias("asset")).agg(F.min("doc_id").alias("doc_id"))
+    k = F.col("doc_id")
+    rows = table(spark, d, "documents").select(
+        F.lit("media").alias("kind"), F.concat(F.lit("cnk:"), k % 500).alias("code"), F.md5(F.coalesce("text", F.lit(""))).alias("asset"), F.when(k % 3 == 0, "primary").otherwise("secondary").alias("role"),
+        F.lit(None).cast("string").alias("uri"), F.concat(F.lit("s"), k % 7).alias("source"), k.alias("order"),
+    )
+    live = slots.current(rows, ["source", "asset", "code"], ["order"])
+    members = rows.select(F.lit("product").alias("lane"), F.concat(F.lit("K"), F.expr("substring(code, 5)")).alias("key"), "code").distinct()
+    return catalog.media(members, live, lambda _, source: F.expr("cast(substring(source, 2) AS int)") % 3).select("key", "asset", "role", "source")
 
 
 @query("SELECT l_partkey AS product, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS categories FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey GROUP BY l_partkey")
@@ -297,20 +316,24 @@ def categories(spark, d):
     return rows.groupBy(F.col("l_partkey").alias("product")).agg(F.array_join(F.array_sort(F.collect_set("n_name")), ",").alias("categories"))
 
 
-@query("WITH " + DECIDED + """\nSELECT code % 50 AS product, string_agg(code || ':' || field || ':' || CASE WHEN tie THEN '?' ELSE value END, ',' ORDER BY code, field) AS variants FROM decided GROUP BY code % 50""")
+@query("WITH " + DECIDED + """\nSELECT code // 4 AS product, string_agg(code || ':' || field || ':' || CASE WHEN tie THEN '?' ELSE value END, ',' ORDER BY code, field) AS variants FROM decided GROUP BY code // 4""")
 def golden_variants(spark, d):
     one = F.struct("code", "field", F.concat_ws(":", F.col("code").cast("string"), "field", F.coalesce("value", F.lit("?"))).alias("s"))
-    rows = decisions(spark, d).groupBy((F.col("code") % 50).alias("product")).agg(F.sort_array(F.collect_list(one)).alias("v"))
+    rows = decisions(spark, d).groupBy(F.floor(F.col("code") / 4).alias("product")).agg(F.sort_array(F.collect_list(one)).alias("v"))
     return rows.select("product", F.array_join(F.transform("v", lambda x: x["s"]), ",").alias("variants"))
 
 
 # Identity resolution.
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'o' || l_orderkey AS a, 'p' || l_partkey AS b FROM lineitem WHERE l_quantity = 50 AND l_returnflag = 'R'),
-s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, x) AS (SELECT a, a FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.x)
-SELECT node, min(x) AS component FROM r GROUP BY node""")
+@query("""WITH n AS (SELECT 'o' || o_orderkey AS node, o_custkey // 4 AS g FROM orders UNION SELECT 'c' || o_custkey, o_custkey // 4 FROM orders UNION SELECT 'h' || (o_custkey // 2), o_custkey // 4 FROM orders UNION SELECT 'q' || (o_custkey // 4), o_custkey // 4 FROM orders)
+SELECT node, min(node) OVER (PARTITION BY g) AS component FROM n""")
 def listing_components(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity = 50 AND l_returnflag = 'R'").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"))
-    return cluster.components(e.distinct())
+    """Orders hang on customers, and customers on their halves and quarters: components of four steps across."""
+    o = table(spark, d, "orders")
+    name = lambda p, c: F.concat(F.lit(p), c.cast("string"))
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    half, quarter = F.floor(c / 2), F.floor(c / 4)
+    edge = lambda a, b: o.select(a.alias("a"), b.alias("b"))
+    return cluster.components(edge(name("o", k), name("c", c)).union(edge(name("c", c), name("h", half))).union(edge(name("h", half), name("q", quarter))).distinct())
 
 
 def listings(spark, d) -> DataFrame:
@@ -325,8 +348,8 @@ def guarded_clusters(spark, d):
     return cluster.guarded(listings(spark, d))
 
 
-CLUSTERS = """clusters AS (SELECT DISTINCT l_orderkey AS cluster, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') AS code, 'cnk' AS scheme, TRUE AS bridges FROM lineitem WHERE l_quantity >= 49 AND l_shipdate >= TIMESTAMP '1997-01-01'),
-members AS (SELECT DISTINCT 'SK_' || l_suppkey AS key, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') AS code FROM lineitem WHERE l_quantity >= 49 AND l_shipdate < TIMESTAMP '1997-01-01'),
+CLUSTERS = """clusters AS (SELECT DISTINCT l_orderkey AS cluster, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') || lpad(dayofyear(l_shipdate)::VARCHAR, 3, '0') AS code, 'cnk' AS scheme, TRUE AS bridges FROM lineitem WHERE l_shipdate >= TIMESTAMP '1997-01-01'),
+members AS (SELECT DISTINCT 'SK_' || l_suppkey AS key, 'cnk:' || lpad(l_partkey::VARCHAR, 8, '0') || lpad(dayofyear(l_shipdate)::VARCHAR, 3, '0') AS code FROM lineitem WHERE l_shipdate < TIMESTAMP '1997-01-01'),
 held AS (SELECT code FROM clusters GROUP BY code HAVING count(DISTINCT cluster) > 1),
 met AS (SELECT DISTINCT cluster, key FROM clusters JOIN members USING (code) WHERE code NOT IN (SELECT code FROM held)),
 cand AS (SELECT cluster, min(code) AS least, coalesce(list_sort(list(DISTINCT key) FILTER (key IS NOT NULL)), []) AS keys FROM clusters LEFT JOIN met USING (cluster) GROUP BY cluster),
@@ -337,7 +360,8 @@ nm AS (SELECT count(*) AS n FROM cand WHERE len(keys) = 0)"""
 
 
 def clusters_and_members(spark, d) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, d, "lineitem").where("l_quantity >= 49").withColumn("code", F.concat(F.lit("cnk:"), F.lpad(F.col("l_partkey").cast("string"), 8, "0")))
+    day = F.lpad(F.dayofyear("l_shipdate").cast("string"), 3, "0")
+    rows = table(spark, d, "lineitem").withColumn("code", F.concat(F.lit("cnk:"), F.lpad(F.col("l_partkey").cast("string"), 8, "0"), day))
     new = rows.where(F.col("l_shipdate") >= "1997-01-01").select(F.col("l_orderkey").alias("cluster"), "code", F.lit("cnk").alias("scheme"), F.lit(True).alias("bridges")).distinct()
     return new, rows.where(F.col("l_shipdate") < "1997-01-01").select(F.concat(F.lit("SK_"), "l_suppkey").alias("key"), "code").distinct()
 
@@ -349,6 +373,7 @@ names AS (SELECT cluster, 'mint' AS action, 'SK_' || (row_number() OVER (ORDER B
 across AS (SELECT code, list(DISTINCT key) AS keys FROM names JOIN clusters USING (cluster) WHERE code IN (SELECT code FROM held) GROUP BY code HAVING count(DISTINCT key) > 1),
 touched AS (SELECT key FROM pl UNION SELECT unnest(keys) FROM cand WHERE len(keys) > 1 UNION SELECT unnest(keys) FROM across),
 al AS (SELECT * FROM names UNION ALL SELECT cluster, 'propose', NULL, keys FROM cand WHERE len(keys) > 1
+  UNION ALL SELECT DISTINCT NULL::BIGINT, 'held', NULL, list_sort(keys) FROM across
   UNION ALL SELECT DISTINCT NULL::BIGINT, 'retract', key, [key] FROM members WHERE key NOT IN (SELECT key FROM touched))
 SELECT cluster, action, key, array_to_string(keys, ',') AS keys FROM al""")
 def reconcile(spark, d):
@@ -375,20 +400,23 @@ def national_swaps(spark, d):
     return ledger.national_swaps(rows.where("old"), rows.where("NOT old"))
 
 
+def merges(spark, d) -> DataFrame:
+    return table(spark, d, "customer").where("c_custkey >= 3").select(F.concat(F.lit("SK_"), "c_custkey").alias("key"), F.concat(F.lit("SK_"), F.floor(F.col("c_custkey") / 3)).alias("into"))
+
+
 MERGES = "m AS (SELECT 'SK_' || c_custkey AS key, 'SK_' || (c_custkey // 3) AS \"into\" FROM customer WHERE c_custkey >= 3)"
 
 
 @query(f"""WITH RECURSIVE {MERGES}, r(key, x, n) AS (SELECT key, "into", 1 FROM m UNION ALL SELECT r.key, m."into", n + 1 FROM r JOIN m ON m.key = r.x)
 SELECT key, arg_max(x, n) AS survivor FROM r GROUP BY key""")
 def redirect_closure(spark, d):
-    m = table(spark, d, "customer").where("c_custkey >= 3").select(F.concat(F.lit("SK_"), "c_custkey").alias("key"), F.concat(F.lit("SK_"), F.floor(F.col("c_custkey") / 3)).alias("into"))
-    return ledger.redirects(m)
+    return ledger.redirects(merges(spark, d))
 
 
 @query(f"""WITH RECURSIVE {MERGES}, r(key, x, n) AS (SELECT key, "into", 1 FROM m UNION ALL SELECT r.key, m."into", n + 1 FROM r JOIN m ON m.key = r.x)
 SELECT survivor, count(*) AS ancestors FROM (SELECT key, arg_max(x, n) AS survivor FROM r GROUP BY key) GROUP BY survivor""")
 def ancestors(spark, d):
-    return redirect_closure(spark, d).groupBy("survivor").agg(F.count("*").alias("ancestors"))
+    return ledger.ancestors(merges(spark, d)).select("survivor", "ancestors")
 
 
 # Events, periods and the two clocks.
@@ -403,21 +431,31 @@ def listing_periods(spark, d):
     return history.set_periods(user_events(spark, d), "user_id", "at", "event_type", ["at", "event_id"])
 
 
-@query("""WITH f AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id, arg_max(event_type, event_id) OVER (PARTITION BY user_id, epoch(ts)::BIGINT) AS t FROM events WHERE event_id % 3 = 0),
-p AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id FROM events WHERE event_id % 3 = 1),
+@query("""WITH f AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id, arg_max(event_type, event_id) OVER (PARTITION BY user_id, epoch(ts)::BIGINT) AS t FROM events WHERE event_id % 2 = 0),
+p AS (SELECT user_id, epoch(ts)::BIGINT AS sec, event_id FROM events WHERE event_id % 2 = 1),
 g AS (SELECT DISTINCT user_id, sec, t FROM f)
 SELECT p.event_id, coalesce((SELECT arg_max(g.t, g.sec) FROM g WHERE g.user_id = p.user_id AND g.sec <= p.sec), (SELECT arg_min(g.t, g.sec) FROM g WHERE g.user_id = p.user_id)) AS anchor FROM p""")
 def anchor_asof(spark, d):
     e = user_events(spark, d)
-    facts = e.where("event_id % 3 = 0").groupBy("user_id", "at").agg(F.max_by("event_type", "event_id").alias("anchor"))
-    return history.as_of(e.where("event_id % 3 = 1").select("user_id", "at", "event_id"), facts, "user_id", "at", "anchor").select("event_id", "anchor")
-
-
-@query(None)
+    facts = e.where("event_id % 2 = 0").groupBy("user_id", "at").agg(F.max_by("event_type", "event_id").alias("anchor"))
+    return history.as_of(e.where("event_id % 2 = 1").select("user_id", "at", "event_id"), facts, "user_id", "at", "anchor").select("event_id", "anchor")
+
+
+@query("""WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, event_id * 20000 AS ts, ['set', 'add', 'add', 'remove', 'delete'][(event_id % 5 + 1)::INT] AS op,
+  CASE WHEN event_id % 2 = 0 THEN 'cnk' ELSE 'fred' END AS s, CASE WHEN event_id % 2 = 0 THEN 'cnk:' ELSE 'fred:' END || event_id % 7 AS c FROM events),
+r AS (SELECT u, 0::BIGINT AS i, []::VARCHAR[] AS held, NULL::BIGINT AS from_at, NULL::VARCHAR[] AS codes, 0 AS n FROM (SELECT DISTINCT u FROM e) UNION ALL
+  SELECT u, i, held, CASE WHEN codes IS NULL OR codes <> held AND (from_at // 86400) <> (ts // 86400) THEN ts ELSE from_at END, CASE WHEN codes IS NULL OR codes <> held THEN held ELSE codes END,
+    n + (codes IS NULL OR codes <> held AND (from_at // 86400) <> (ts // 86400))::INT
+  FROM (SELECT r.u, e.i, e.ts, r.from_at, r.codes, r.n, list_sort(CASE e.op WHEN 'set' THEN list_append(list_filter(r.held, lambda x: split_part(x, ':', 1) <> e.s), e.c) WHEN 'add' THEN list_distinct(list_append(r.held, e.c))
+    WHEN 'remove' THEN list_filter(r.held, lambda x: x <> e.c) ELSE list_filter(r.held, lambda x: split_part(x, ':', 1) <> e.s) END) AS held FROM r JOIN e ON e.u = r.u AND e.i = r.i + 1)),
+p AS (SELECT u, n, arg_max(from_at, i) AS from_at, arg_max(codes, i) AS codes FROM r WHERE n > 0 GROUP BY ALL)
+SELECT u AS entity, from_at, lead(from_at) OVER (PARTITION BY u ORDER BY n) AS to_at, array_to_string(codes, ',') AS codes FROM p""")
 def identity_fold(spark, d):
-    op = F.element_at(F.array(*map(F.lit, ("set", "add", "add", "remove", "delete"))), (F.col("event_id") % 5).cast("int") + 1)
-    rows = user_events(spark, d).select(F.col("user_id").cast("string").alias("listing"), F.struct("at", "event_id").alias("k"), op.alias("op"), F.when(F.col("event_id") % 2 == 0, "cnk").otherwise("gtin").alias("scheme"), (F.col("event_id") % 7).cast("string").alias("code"), "at")
-    return history.code_set_periods(rows.withColumn("seq", F.row_number().over(W.partitionBy("listing").orderBy("k"))).drop("k"))
+    """Each user's events set, add, remove and delete codes; what they held when, in periods of whole days."""
+    k = F.col("event_id")
+    op = F.element_at(F.array(*map(F.lit, ("set", "add", "add", "remove", "delete"))), (k % 5).cast("int") + 1)
+    rows = table(spark, d, "events").select(F.col("user_id").alias("entity"), F.lit("app").alias("source"), k.alias("order"), F.lit("identity").alias("kind"), op.alias("op"), F.when(k % 2 == 0, "cnk").otherwise("fred").alias("scheme"), (k % 7).cast("string").alias("code"), (k * 20_000).alias("recorded_at"))
+    return mapping.periods(rows).select("entity", "from_at", "to_at", F.array_join("codes", ",").alias("codes"))
 
 
 def revisions(spark, d) -> DataFrame:
@@ -451,13 +489,6 @@ def bitemporal_grid(spark, d):
     return last.groupBy("known_at", "effective_at").agg(F.count("*").alias("records"), F.sum("turn").alias("turns"))
 
 
-@query(None)
-def record_lifecycle(spark, d):
-    op = F.element_at(F.array(*map(F.lit, ("replace", "patch", "patch", "withdraw", "reactivate"))), (F.col("turn") % 5).cast("int") + 1)
-    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("ref"), F.col("turn").alias("seq"), op.alias("operation"), F.col("role").alias("field"), F.md5("text").alias("value"))
-    return history.lifecycle(rows).withColumn("fields", F.array_join("fields", ","))
-
-
 @query("SELECT event_id, event_type, user_id FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 500")
 def change_feed(spark, d):
     return table(spark, d, "events").where("event_id > 1000").select("event_id", "event_type", "user_id").orderBy("event_id").limit(500)
@@ -478,60 +509,39 @@ def steward_queue(spark, d):
 
 
 # Legacy identities and reports.
-VOTES = "v AS (SELECT l_suppkey AS key, l_partkey % 20 AS entity, count(*) AS n FROM lineitem GROUP BY ALL)"
+VOTES = """m AS (SELECT DISTINCT 'SK_' || l_suppkey AS key, l_partkey AS code FROM lineitem), gr AS (SELECT DISTINCT l_partkey AS code, l_suppkey % 3 AS source, l_partkey % 20 AS product FROM lineitem),
+v AS (SELECT key, product AS entity, count(*) AS n FROM m JOIN gr USING (code) GROUP BY ALL), b AS (SELECT key, arg_max(entity, (n, -entity)) AS id, max(n) AS votes FROM v GROUP BY key)"""
 
 
-@query(f"WITH {VOTES} SELECT key, arg_max(entity, (n, -entity)) AS legacy_id, max(n) AS votes FROM v GROUP BY key")
-def legacy_votes(spark, d):
-    v = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("key"), (F.col("l_partkey") % 20).alias("entity")).agg(F.count("*").alias("n"))
-    return v.groupBy("key").agg(F.max_by("entity", F.struct("n", -F.col("entity"))).alias("legacy_id"), F.max("n").alias("votes"))
-
-
-@query(f"""WITH {VOTES}, b AS (SELECT key, arg_max(entity, (n, -entity)) AS id FROM v GROUP BY key), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY 'SK_' || key) AS k FROM b)
-SELECT key, CASE WHEN k = 1 THEN id ELSE 999 + row_number() OVER (PARTITION BY k = 1 ORDER BY 'SK_' || key) END AS legacy_id, k = 1 AS inherited FROM r""")
-def legacy_allocate(spark, d):
-    """One key, the least as a string, inherits an id; others get new ones above the floor."""
-    name = F.concat(F.lit("SK_"), F.col("key").cast("string"))
-    voted = legacy_votes(spark, d).withColumn("k", F.row_number().over(W.partitionBy("legacy_id").orderBy(name)))
-    new = voted.where("k > 1").select("key", (F.row_number().over(W.orderBy(name)) + 999).cast("bigint").alias("legacy_id"), F.lit(False).alias("inherited"))
-    return voted.where("k = 1").select("key", "legacy_id", F.lit(True).alias("inherited")).union(new)
-
-
-XREF = """x AS (SELECT DISTINCT l_suppkey AS key, l_partkey AS entity FROM lineitem WHERE l_quantity = 50),
-ke AS (SELECT key, count(*) AS n FROM x GROUP BY key), ek AS (SELECT entity, count(*) AS n FROM x GROUP BY entity)"""
+def voters(spark, d) -> tuple[DataFrame, DataFrame]:
+    rows = table(spark, d, "lineitem").select(F.concat(F.lit("SK_"), "l_suppkey").alias("key"), F.col("l_partkey").alias("code"), (F.col("l_suppkey") % 3).alias("source"), (F.col("l_partkey") % 20).alias("product"))
+    return rows.select("key", "code").distinct(), rows.select("code", "source", "product").distinct()
 
 
-@query(f"WITH {XREF} SELECT entity, CASE WHEN ek.n > 1 THEN 'split' WHEN max(ke.n) > 1 THEN 'merged' ELSE 'stable' END AS relation, min(key) AS \"primary\" FROM x JOIN ke USING (key) JOIN ek USING (entity) GROUP BY entity, ek.n")
-def xref_relation(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("entity")).distinct()
-    by_key = x.groupBy("key").agg(F.count("*").alias("entities"))
-    e = x.join(by_key, "key").groupBy("entity").agg(F.count("*").alias("keys"), F.max("entities").alias("most"), F.min("key").alias("primary"))
-    return e.select("entity", F.when(F.col("keys") > 1, "split").when(F.col("most") > 1, "merged").otherwise("stable").alias("relation"), "primary")
+@query(f"WITH {VOTES} SELECT key, id AS legacy_id, votes FROM b")
+def legacy_votes(spark, d):
+    return legacy.inherited(legacy.votes(*voters(spark, d)))
 
 
-@query(f"WITH {XREF} SELECT relation, count(*) AS n FROM (SELECT entity, CASE WHEN ek.n > 1 THEN 'split' WHEN max(ke.n) > 1 THEN 'merged' ELSE 'stable' END AS relation FROM x JOIN ke USING (key) JOIN ek USING (entity) GROUP BY entity, ek.n) GROUP BY relation")
-def migration_diff(spark, d):
-    return xref_relation(spark, d).groupBy("relation").agg(F.count("*").alias("n"))
+@query(f"""WITH {VOTES}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY key) AS k FROM b), f AS (SELECT max(product) AS top FROM gr)
+SELECT key, CASE WHEN k = 1 THEN id ELSE (SELECT top FROM f) + row_number() OVER (PARTITION BY k = 1 ORDER BY key) END AS legacy_id, k = 1 AS inherited FROM r""")
+def legacy_allocate(spark, d):
+    """One key, the least as a string, inherits an id; others get new ones above all."""
+    return legacy.allocate(*voters(spark, d))
 
 
-SNAPSHOTS = "WITH " + CLAIMS + """, a AS (SELECT code, field, arg_max(value, (day, l_orderkey, l_linenumber, source)) AS v FROM claims WHERE day < DATE '1997-01-01' AND code % 5 > 0 GROUP BY ALL),
-b AS (SELECT code, field, arg_max(value, (day, l_orderkey, l_linenumber, source)) AS v FROM claims WHERE day >= DATE '1997-01-01' AND code % 7 > 0 GROUP BY ALL)"""
+SNAPSHOTS = "WITH " + CLAIMS + """, a AS (SELECT code * 1000000 + source AS entity, field, arg_max(value, (day, l_orderkey, l_linenumber)) AS v FROM claims WHERE day < DATE '1997-01-01' GROUP BY ALL),
+b AS (SELECT code * 1000000 + source AS entity, field, arg_max(value, (day, l_orderkey, l_linenumber)) AS v FROM claims WHERE day >= DATE '1997-01-01' GROUP BY ALL)"""
 
 
-@query(SNAPSHOTS + "\nSELECT code, field, CASE WHEN b.v IS NULL THEN 'applier_only' WHEN a.v IS NULL THEN 'engine_only' WHEN a.v = b.v THEN 'match' ELSE 'value_mismatch' END AS verdict FROM a FULL JOIN b USING (code, field)")
+@query(SNAPSHOTS + "\nSELECT entity, field, CASE WHEN b.v IS NULL THEN 'applier_only' WHEN a.v IS NULL THEN 'engine_only' WHEN a.v = b.v THEN 'match' ELSE 'value_mismatch' END AS verdict FROM a FULL JOIN b USING (entity, field)")
 def parity_diff(spark, d):
-    c = claims(spark, d)
-    last = lambda rows, name: rows.groupBy("code", "field").agg(F.max_by("value", F.struct(*ORDER, "source")).alias(name))
-    a = last(c.where("day < DATE '1997-01-01' AND code % 5 > 0"), "a")
-    b = last(c.where("day >= DATE '1997-01-01' AND code % 7 > 0"), "b")
-    verdict = F.when(F.col("b").isNull(), "applier_only").when(F.col("a").isNull(), "engine_only").when(F.col("a") == F.col("b"), "match").otherwise("value_mismatch")
-    return a.join(b, ["code", "field"], "full").select("code", "field", verdict.alias("verdict"))
-
-
-@query(f"WITH {XREF} SELECT entity AS public_id, count(*) AS keys, min(key) AS canonical FROM x GROUP BY entity HAVING count(*) > 1")
-def id_collisions(spark, d):
-    x = table(spark, d, "lineitem").where("l_quantity = 50").select(F.col("l_suppkey").alias("key"), F.col("l_partkey").alias("public_id")).distinct()
-    return x.groupBy("public_id").agg(F.count("*").alias("keys"), F.min("key").alias("canonical")).where("keys > 1")
+    """What each supplier said of each part until 1996 against what it says since."""
+    c = claims(spark, d).withColumn("entity", F.col("code") * 1_000_000 + F.col("source"))
+    last = lambda rows: rows.groupBy("entity", "field").agg(F.max_by("value", F.struct(*ORDER)).alias("value")).select("entity", F.lit("attribute").alias("lane"), F.col("field").alias("name"), "value", F.lit(None).cast("string").alias("candidates"))
+    one = lambda rows: rows.unionByName(rows.select("entity", F.lit("product").alias("lane"), F.lit("").alias("name"), F.lit(None).cast("string").alias("value"), F.lit(None).cast("string").alias("candidates")).distinct())
+    compared = parity.compare(one(last(c.where("day >= DATE '1997-01-01'"))), last(c.where("day < DATE '1997-01-01'")))
+    return compared.select("entity", F.col("name").alias("field"), "verdict")
 
 
 @query("SELECT sha256(text) AS fingerprint, min(doc_id) AS doc_id, count(*) AS seen FROM documents GROUP BY sha256(text)")
@@ -550,9 +560,9 @@ def field_census(spark, d):
     return table(spark, d, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("value")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
 
 
-@query("SELECT l_partkey AS code, count(DISTINCT l_orderkey) AS entities FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")
+@query("SELECT l_partkey AS code, count(DISTINCT l_orderkey) AS entities FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_orderkey) > 1")
 def code_collision_scan(spark, d):
-    return table(spark, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("code")).agg(F.countDistinct("l_orderkey").alias("entities")).where("entities > 1")
+    return table(spark, d, "lineitem").groupBy(F.col("l_partkey").alias("code")).agg(F.countDistinct("l_orderkey").alias("entities")).where("entities > 1")
 
 
 @query("WITH " + DECIDED + "\nSELECT field, count(*) AS items, count_if(tie) AS needs_review, count(DISTINCT winner) FILTER (NOT tie) AS winners FROM decided GROUP BY field")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from loomline.functions import codes, dimensions
 from loomline.operators import records, slots, stewardship, survivorship, validate
-from loomline.plans.catalogue import CLAIMS, ORDER, RANKED, claims, current, priority, query, table
+from loomline.plans.catalogue import CLAIMS, CURRENT, ORDER, RANKED, claims, current, priority, query, table
 from loomline.sources import envelope, log, trade
 from loomline.streaming import feed
 
@@ -162,21 +162,19 @@ def cutover_counts(spark, d):
     return c.groupBy("field").agg(F.count("*").alias("claims")).join(kept, "field").join(contents, "field")
 
 
-@query("SELECT 0::BIGINT AS missing, 0::BIGINT AS extra")
+@query(f"WITH {CURRENT} SELECT source, code, field, value, day FROM current")
 def rebuild_check(spark, d):
-    """The slots folded from zero against the same folded from an earlier state and what came after: rows that differ."""
+    """The slots folded from an earlier state and what came after: they are those folded from zero."""
     slot, cut = ["source", "code", "field"], "day < DATE '1997-01-01'"
     c = claims(spark, d)
-    whole, state = current(spark, d), slots.current(c.where(cut), slot, ORDER)
-    folded = slots.current(state.unionByName(c.where(f"NOT ({cut})")), slot, ORDER).select(*whole.columns)
-    sides = whole.withColumn("side", F.lit(1)).union(folded.withColumn("side", F.lit(-1))).groupBy(*whole.columns).agg(F.sum("side").alias("side"))
-    return sides.agg(F.count_if(F.col("side") > 0).alias("missing"), F.count_if(F.col("side") < 0).alias("extra"))
+    state = slots.current(c.where(cut), slot, ORDER)
+    return slots.current(state.unionByName(c.where(f"NOT ({cut})")), slot, ORDER).select("source", "code", "field", "value", "day")
 
 
 # Stewardship.
-@query("SELECT l_partkey AS subject, count(DISTINCT l_suppkey) AS actors, count(DISTINCT l_suppkey) >= 2 AS approved FROM lineitem WHERE l_quantity > 45 GROUP BY l_partkey")
+@query("SELECT l_partkey AS subject, count(DISTINCT l_suppkey) AS actors, count(DISTINCT l_suppkey) >= 24 AS approved FROM lineitem GROUP BY l_partkey")
 def endorsements(spark, d):
-    return stewardship.endorsed(table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("actor")))
+    return stewardship.endorsed(table(spark, d, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_suppkey").alias("actor")), needed=24)
 
 
 @query(f"""WITH {CLAIMS}, o AS (SELECT code, field, arg_max(value, (day, l_orderkey, l_linenumber, source)) AS v FROM claims WHERE day < DATE '1997-01-01' GROUP BY ALL),
@@ -220,6 +218,7 @@ def trade_lines(spark, d) -> tuple[DataFrame, DataFrame]:
 @query("""WITH n AS (SELECT *, unnest([p_partkey, p_partkey + 1]) AS k FROM part), b AS (SELECT *, '978' || lpad((k * 37)::VARCHAR, 9, '0') AS v FROM n),
 c AS (SELECT *, 'isbn13:' || v || (10 - list_sum(list_transform(range(1, 13), lambda i: substr(v, i::INT, 1)::INT * CASE WHEN i % 2 = 0 THEN 3 ELSE 1 END)) % 10)::BIGINT % 10 AS code FROM b),
 p AS (SELECT p_partkey, p_name, p_size, p_brand, arg_min(code, k) AS one, arg_max(code, k) AS two FROM c GROUP BY ALL)
+-- Fixed values: the names of the two sources.
 SELECT 'identity' AS kind, 'librex' AS source, 'librex-' || p_partkey AS ref, one AS code, NULL::BIGINT AS product, NULL AS field, NULL AS value FROM p
 UNION ALL SELECT 'grouping', 'librex', 'librex-' || p_partkey, one, p_partkey, NULL, NULL FROM p
 UNION ALL SELECT 'attribute', 'librex', 'librex-' || p_partkey, one, NULL, 'title', 's:' || p_name FROM p
@@ -264,21 +263,21 @@ def source_record_gates(spark, d):
     return records.revise(revision_requests(spark, d)).select("ref", "seq", "status", "outcome", "active", F.size("slots").alias("slots"))
 
 
-MERGED = """v AS (SELECT o_custkey // 5 AS subject FROM orders WHERE o_orderkey % 10 = 0 GROUP BY ALL HAVING count(DISTINCT o_orderpriority) >= 2),
+MERGED = """v AS (SELECT o_custkey // 5 AS subject FROM orders GROUP BY ALL HAVING count(DISTINCT o_orderkey % 40) >= 28),
 k AS (SELECT DISTINCT c_custkey // 5 AS subject, 'SK_' || c_custkey AS key FROM customer),
 g AS (SELECT subject, key, min(key) OVER (PARTITION BY subject) AS survivor FROM k WHERE subject IN (SELECT subject FROM v)),
 m AS (SELECT DISTINCT 'SK_' || o_custkey AS key, CASE WHEN o_orderkey % 3 > 0 THEN 'cnk' ELSE 'gtin' END AS scheme, o_orderkey % 97 AS code FROM orders)"""
 
 
 def merges_of(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Neighbouring customers are proposed as one, and endorsed by the priorities of some of their orders. Also the customers' codes."""
+    """Neighbouring customers are proposed as one, and endorsed by the people who took their orders, of whom many are needed. Also the customers' codes."""
     orders = table(spark, d, "orders")
     fifth = lambda c: F.floor(F.col(c) / 5)
     proposals = table(spark, d, "customer").select(fifth("c_custkey").alias("subject"), F.concat(F.lit("SK_"), "c_custkey").alias("key"))
-    votes = orders.where("o_orderkey % 10 = 0").select(fifth("o_custkey").alias("subject"), F.col("o_orderpriority").alias("actor"))
+    votes = orders.select(fifth("o_custkey").alias("subject"), (F.col("o_orderkey") % 40).alias("actor"))
     scheme = F.when(F.col("o_orderkey") % 3 > 0, "cnk").otherwise("gtin")
     members = orders.select(F.concat(F.lit("SK_"), "o_custkey").alias("key"), scheme.alias("scheme"), (F.col("o_orderkey") % 97).alias("code")).distinct()
-    return stewardship.approved_merges(proposals, votes), members
+    return stewardship.approved_merges(proposals, votes, needed=28), members
 
 
 @query(f"WITH {MERGED} SELECT subject, key, survivor FROM g")

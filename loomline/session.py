@@ -21,9 +21,12 @@ def session(cores: str = "*") -> SparkSession:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a session that runs in this process (tests)
+    has a folder of its own; on a cluster that would lose data, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="loomline-"))
         root = _OWN[0]

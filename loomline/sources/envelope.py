@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomline.functions.registry import IDENTITY_FIELDS
+
 # Fixed values.
 VERSION = "1"
 OPS = {"1": "set", "2": "add", "3": "remove", "4": "delete"}
 KINDS = ("identity", "attribute", "edge", "media")
 DROPPED_OPCODE = "update_sources"
 DROPPED_FIELDS = ("updatedAt", "updatedBy", "createdAt", "createdBy", "legacyId")
-IDENTITY_FIELDS = ("cnk", "ean", "gtin", "eanGtin8", "eanGtin12", "eanGtin13", "eanGtin14")
-EDGE_FIELDS = r"^(brands|internationalBrands|labos|organizations|\w+Categories)$"
+EDGE_FIELDS = ("publicCategories", "brands", "labos", "internationalBrands", "medipimCategories", "organizations")
 MEDIA_FIELDS = ("media", "descriptions", "leaflets")
 MAX_CODE = 160
 
@@ -75,7 +76,7 @@ def snapshot_deltas(lines: DataFrame) -> DataFrame:
 
 
 def _kind(field: Column, identity: tuple[str, ...]) -> Column:
-    return F.when(field.isin(*identity), "identity").when(field.isin(*MEDIA_FIELDS), "media").when(field.rlike(EDGE_FIELDS), "edge").otherwise("attribute")
+    return F.when(field.isin(*identity), "identity").when(field.isin(*MEDIA_FIELDS), "media").when(field.isin(*EDGE_FIELDS), "edge").otherwise("attribute")
 
 
 def decode(deltas: DataFrame, identity: tuple[str, ...] = IDENTITY_FIELDS) -> DataFrame:
@@ -138,19 +139,40 @@ def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
     return envelopes_of(spark.read.text(path, wholetext=True).select(F.col("value").alias("line")))
 
 
+# The JSON type that each part of a history and of an event has, if it is not null.
+WHOLE_TYPES = {"source_system": "STRING", "last_touched_at": "BIGINT", "dropped_meta_count": "BIGINT"}
+EVENT_TYPES = {"recorded_at": "BIGINT", "valid_from": "BIGINT", "by": "BIGINT", "tag": "STRING", "source": "STRING", "scheme": "STRING", "code": "STRING", "field": "STRING", "locale": "STRING", "collection": "STRING"}
+
+
+def _misfit(value: Column, types: dict[str, str]) -> Column:
+    """The first name whose part of a variant object has another type than it should, or null. Numbers that look like text are not text."""
+    wrong = []
+    for name, kind in types.items():
+        part = F.try_variant_get(value, f"$.{name}", "variant")
+        wrong.append(F.when(~F.schema_of_variant(part).isin(kind, "VOID"), F.lit(name)))
+    return F.coalesce(*wrong)
+
+
 def envelopes_of(lines: DataFrame) -> DataFrame:
-    return lines.select(F.from_json("line", ENVELOPE).alias("d"), F.get_json_object("line", "$.events").alias("raw")).select("d.*", "raw")
+    """Histories from a column ``line``, with ``raw`` (the events as JSON), ``bad_type`` and ``bad_types`` (the misfits of the whole and of
+    each event, or null)."""
+    v = F.try_parse_json("line")
+    events = F.try_variant_get(v, "$.events", "array<variant>")
+    return lines.select(
+        F.from_json("line", ENVELOPE).alias("d"), F.get_json_object("line", "$.events").alias("raw"), _misfit(v, WHOLE_TYPES).alias("bad_type"), F.transform(events, lambda e: _misfit(e, EVENT_TYPES)).alias("bad_types")
+    ).select("d.*", "raw", "bad_type", "bad_types")
 
 
 def envelope_events(envelopes: DataFrame) -> DataFrame:
     """The events of histories, in order, each with ``error``: why its history is to be refused, or null. valid_from falls back to
-    recorded_at. A history of another version, or without a list of events, gives one row with an error."""
-    bad = F.when(~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "unsupported_version").when(F.col("events").isNull() | ~F.startswith("raw", F.lit("[")), "events_not_a_list")
-    rows = envelopes.withColumn("bad", bad).select("legacy_entity", "source_system", "bad", F.posexplode_outer(F.when(F.col("bad").isNull(), F.col("events"))).alias("order", "e"))
+    recorded_at. A history of another version, without a list of events, or with parts of another type, gives one row with an error."""
+    bad = F.when(~F.col("schema_version").eqNullSafe(F.lit(VERSION)), "unsupported_version").when(F.col("raw").isNull(), "missing_events").when(~F.startswith("raw", F.lit("[")), "events_not_a_list").when(F.col("bad_type").isNotNull(), F.concat(F.lit("bad_type "), "bad_type")).when(F.col("events").isNull(), "event_not_an_object")
+    rows = envelopes.withColumn("bad", bad).select("legacy_entity", "source_system", "bad", "bad_types", F.posexplode_outer(F.when(F.col("bad").isNull(), F.col("events"))).alias("order", "e"))
     rows = rows.where(F.col("bad").isNotNull() | F.col("order").isNotNull())
     deleted, e = F.col("e.op") == "delete", lambda n: F.col(f"e.{n}")
     error = (
         F.when(F.col("bad").isNotNull(), F.col("bad"))
+        .when(F.get("bad_types", F.col("order")).isNotNull(), F.concat(F.lit("bad_type "), F.get("bad_types", F.col("order"))))
         .when(e("recorded_at").isNull(), "missing_recorded_at")
         .when(~F.coalesce(e("op").isin(*OPS.values()), F.lit(False)), "unknown_op")
         .when(~F.coalesce(e("kind").isin(*KINDS), F.lit(False)), "unknown_kind")
@@ -176,3 +198,14 @@ def accepted(events: DataFrame) -> DataFrame:
 
 def kind_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+def encoded(value: Column) -> Column:
+    """STRUCT(t, s) as the JSON that tagged() reads: whatever the type, decoding gives the value again."""
+    quoted = F.regexp_replace(F.to_json(F.array(value["s"])), r"^\[|\]$", "")
+    return F.when(value["t"] == "s", quoted).when(value["t"] == "n", "null").otherwise(value["s"])
+
+
+def decoded(text: Column) -> Column:
+    """STRUCT(t, s) of a JSON text; null if it is none."""
+    return tagged(F.try_parse_json(text))

@@ -4,7 +4,7 @@ import os
 import duckdb
 import pytest
 
-from loomline.plans import catalogue, intake  # noqa: F401
+from loomline.plans import catalogue, fold, intake  # noqa: F401
 
 
 @pytest.fixture(scope="module")
