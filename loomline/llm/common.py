@@ -57,6 +57,15 @@ def words_column(text) -> F.Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
+#: Up to so many row numbers (8 bytes each) are broadcast to the texts that they choose; beyond, the texts are shuffled to them.
+BROADCAST_ROWS = 1 << 20
+
+
+def chosen(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The rows of wide ``rows`` that a table ``ids`` has (left_semi) or lacks (left_anti), by the column row."""
+    return rows.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "row", how)
+
+
 def batch_of(rows: Sequence[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, give_back, map_batches, materialize, rows_of
+from .common import chosen, columns_of, give_back, map_batches, materialize, rows_of
 
 SHINGLE, SEED, BUDGET, BLOCKS = 3, 42, 3, 4
 #: Rows of one side of a join task; larger groups are cut into slices, and each pair of slices is a task.
@@ -229,8 +229,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def first_of_each(rows: DataFrame, component: DataFrame) -> DataFrame:
     """The rows (row, doc) that come first in their component (row, component_id), by doc_id, null last, and row: one of each."""
     ids = rows.select("row", F.col("doc.doc_id").alias("id")).join(component, "row")
-    kept = materialize(ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row"))
-    return rows.join(kept, "row", "left_semi").select("doc.*")
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("m")).select("m.row")
+    gone = materialize(component.select("row").join(kept, "row", "left_anti"))
+    return chosen(rows, gone, "left_anti").select("doc.*")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
