@@ -249,7 +249,8 @@ def records_at(revisions: DataFrame, known_at: Column, effective_at: Column) ->
 def record_claims(selected: DataFrame) -> DataFrame:
     """The claims of active records, under their record's dates; a slot is the record's own."""
     held = selected.where("active").select("source", F.col("ref").alias("record"), "valid_from", "valid_to", "recorded_at", "order", F.explode("claims").alias("c"))
-    own = held.select("source", "record", "c.*", F.unix_timestamp(F.col("recorded_at")).alias("recorded_at"), "order")
+    given = [f.name for f in selected.schema["claims"].dataType.elementType if f.name not in ("source", "ref", "valid_from", "valid_to", "recorded_at", "order", "slot")]
+    own = held.select("source", "record", F.col("record").alias("ref"), *[F.col("c")[n].alias(n) for n in given], F.unix_timestamp("recorded_at").alias("recorded_at"), "order")
     slot = F.concat_ws("\x1f", "source", F.lit("record"), "record", F.when(F.col("kind") == "identity", "identity").otherwise(mapping.slot()))
     return own.withColumn("slot", slot)
 
