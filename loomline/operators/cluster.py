@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from itertools import combinations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomline.functions.codes import BARCODE, NATIONAL
-from loomline.session import stored
+from loomline.session import folded, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -137,15 +136,20 @@ def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: Data
     plain = placed.join(easy, "component", "left_semi").select("component", F.lit(0).alias("cluster"), *lane_of, "scheme", "value").distinct()
     hard = stored(placed.join(easy, "component", "left_anti"))
     side = lambda n: hard.where(F.col("scheme").isin(*NATIONAL)).select("component", "scheme", F.col("value").alias(n)).distinct()
-    near = stored(allowed).join(side("left"), ["scheme", "left"]).join(side("right"), ["component", "scheme", "right"]).select("component", "scheme", "left", "right").toDF("near", "near_scheme", "left", "right")
-
-    def run(key, rows: pd.DataFrame, ok: pd.DataFrame) -> pd.DataFrame:
-        sets = [list(zip(g["scheme"], g["value"], strict=True)) for _, g in rows.groupby("set")]
-        never = set(zip(rows["scheme"][rows["never"]], rows["value"][rows["never"]], strict=True))
-        allow = {((s, a), (s, b)) for s, a, b in zip(ok["near_scheme"], ok["left"], ok["right"], strict=True)}
-        lane = rows["lane"].iloc[0] if len(rows) else ""
-        out = [(key[0], k, lane, s, v) for k, c in enumerate(guard(sets, never, allow, apart, joined)) for s, v in c]
-        return pd.DataFrame(out, columns=["component", "cluster", "lane", "scheme", "value"])
-
-    folded = hard.select("component", "lane", "set", "scheme", "value", "never").groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, "component string, cluster int, lane string, scheme string, value string")
-    return plain.unionByName(folded.select("component", "cluster", *lane_of, "scheme", "value"))
+    near = stored(allowed).join(side("left"), ["scheme", "left"]).join(side("right"), ["component", "scheme", "right"]).select("component", "scheme", F.col("left").alias("value"), "right")
+
+    def run(key: str, rows: list[tuple]) -> list[tuple]:
+        sets, never, allow, lane = {}, set(), set(), ""
+        for _, name, of, scheme, value, shut, right in rows:
+            if name is None:
+                allow.add(((scheme, value), (scheme, right)))
+                continue
+            lane = of
+            sets.setdefault(name, []).append((scheme, value))
+            if shut:
+                never.add((scheme, value))
+        return [(key, k, lane, s, v) for k, c in enumerate(guard(list(sets.values()), never, allow, apart, joined)) for s, v in c]
+
+    rows = hard.select("component", "set", "lane", "scheme", "value", "never").unionByName(near, allowMissingColumns=True)
+    found = folded(rows.select("component", "set", "lane", "scheme", "value", "never", "right"), "component", run, "component string, cluster int, lane string, scheme string, value string")
+    return plain.unionByName(found.select("component", "cluster", *lane_of, "scheme", "value"))

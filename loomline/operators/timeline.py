@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomline import session
 from loomline.functions import codes, registry, temporal
 from loomline.functions.codes import BARCODE, NATIONAL
 from loomline.operators import catalog, cluster, golden, ledger, mapping
@@ -141,6 +141,15 @@ def all_time(history: DataFrame) -> DataFrame:
     return found.select(parts[1].alias("lane"), parts[2].alias("listing"), "component")
 
 
+def empty_days(change: DataFrame) -> DataFrame:
+    """lane, voids: the days on which a lane has no codes any more, with the day on which it has again, of change(lane, listing, day, until)."""
+    steps = change.select("lane", "day", F.lit(1).alias("d")).union(change.where("until IS NOT NULL").select("lane", F.col("until").alias("day"), F.lit(-1).alias("d"))).groupBy("lane", "day").agg(F.sum("d").alias("d"))
+    by = W.partitionBy("lane").orderBy("day")  # a row a day
+    later = W.partitionBy("lane").orderBy(F.desc("day")).rowsBetween(W.unboundedPreceding, -1)  # a frame that grows: one that shrinks is folded anew for each row
+    counted = steps.withColumn("n", F.sum("d").over(by)).withColumn("again", F.min(F.when(F.col("n") > 0, F.col("day"))).over(later))
+    return counted.where("n = 0").groupBy("lane").agg(F.collect_list(F.struct("day", F.col("again").cast("int").alias("again"))).alias("voids"))
+
+
 def fold_forward(claims: DataFrame) -> DataFrame:
     """order, day, lane, type, key, keys, codes, into: the identity events of claims (mapping.claims() or finer_claims()), day by day, keys
     kept from day to day. A listing's last claim of a day counts for the day.
@@ -166,29 +175,28 @@ def fold_forward(claims: DataFrame) -> DataFrame:
     near = stored(pairs.join(side("left"), ["lane", "left"]).join(side("right"), ["lane", "right", "component"]).select(F.col("component").alias("near"), "left", "right", "day", "until"))
 
     change = spans.select("lane", "listing", "day", "until").distinct()
-    steps = change.select("lane", "day", F.lit(1).alias("d")).union(change.where("until IS NOT NULL").select("lane", F.col("until").alias("day"), F.lit(-1).alias("d"))).groupBy("lane", "day").agg(F.sum("d").alias("d"))
-    by = W.partitionBy("lane").orderBy("day")  # a row a day
-    counted = steps.withColumn("n", F.sum("d").over(by)).withColumn("again", F.min(F.when(F.col("n") > 0, F.col("day"))).over(by.rowsBetween(1, W.unboundedFollowing)))
-    voids = counted.where("n = 0").groupBy("lane").agg(F.collect_list(F.struct("day", F.col("again").cast("int").alias("again"))).alias("voids"))
+    voids = empty_days(change)
 
-    def run(key, rows: pd.DataFrame, ok: pd.DataFrame) -> pd.DataFrame:
+    def run(key: str, rows: list[tuple]) -> Iterable[tuple]:
         cut = lambda c: tuple(c.split(":", 1))
-        history = [(d, name, [cut(c) for c in own]) for d, name, own in zip(rows["day"], rows["listing"], rows["codes"], strict=True)]
-        never = {cut(c) for own, f in zip(rows["codes"], rows["never"], strict=True) for c, n in zip(own, f, strict=True) if n}
-        allowed = []
-        for a, b, start, end in zip(ok["left"], ok["right"], ok["day"], ok["until"], strict=True):
-            pair = (cut(a), cut(b))
-            allowed.append((int(start), pair))
-            if end == end and end is not None:
-                allowed.append((-int(end), pair))
+        history, never, allowed, empty = [], set(), [], {}
+        for _, name, day, own, f, again, left, right, until in rows:
+            if name is not None:
+                history.append((day, name, [cut(c) for c in own]))
+                never |= {cut(c) for c, n in zip(own, f, strict=True) if n}
+                empty = empty or {v["day"]: v["again"] for v in again or ()}
+                continue
+            pair = (cut(left), cut(right))
+            allowed.append((day, pair))
+            if until is not None:
+                allowed.append((-until, pair))
         said = lambda own: sorted(f"{s}:{v}" for s, v in own)
-        first = rows["voids"].iloc[0] if len(rows) else None
-        empty = {v["day"]: v["again"] for v in first} if first is not None else {}
-        out = [(key[0], d, s, t, k, ks, said(c), into) for d, s, t, k, ks, c, into in fold(history, never, allowed, empty)]
-        return pd.DataFrame(out, columns=["component", "day", "step", "type", "key", "keys", "codes", "into"])
+        return [(key, d, s, t, k, ks, said(c), into) for d, s, t, k, ks, c, into in fold(history, never, allowed, empty)]
 
     never = F.transform("codes", lambda c: codes.never_bridges(registry.parts(c)))
-    folded = placed.withColumn("never", never).join(F.broadcast(voids), "lane", "left").groupBy("component").cogroup(near.groupBy("near")).applyInPandas(run, EVENTS)
+    own = placed.join(F.broadcast(voids), "lane", "left").select("component", "listing", "day", "codes", never.alias("never"), "voids")
+    rows = own.unionByName(near.withColumnRenamed("near", "component"), allowMissingColumns=True)
+    folded = session.folded(rows.select("component", "listing", "day", "codes", "never", "voids", "left", "right", "until"), "component", run, EVENTS)
     told = stored(folded.join(placed.select("component", "lane").distinct(), "component"))
     return _numbered(told)
 
