@@ -6,6 +6,7 @@ Trained by numpy stochastic gradient descent on a bounded sample of labelled doc
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -87,20 +88,21 @@ def train(texts: list[str], labels: list[int]) -> Model:
     rng = np.random.default_rng(SEED)
     vectors = rng.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     out, bias = np.zeros((2, WIDTH), np.float32), np.zeros(2, np.float32)
-    memo: dict[str, list[int]] = {}
+    memo: dict[str, array] = {}  # four bytes a bucket: the driver has little room
     docs = []
     for text in texts:
         words, count = Counter(text.split()), Counter()
         for w, k in words.items():
             if w not in memo:
-                memo[w] = features(w)
+                memo[w] = array("i", features(w))
             for b in memo[w]:
                 count[b] += k
         for b, k in document_features(words):
             count[b] += k
-        own = np.fromiter(count, np.int64, len(count))
+        own = np.fromiter(count, np.int32, len(count))
         share = np.fromiter(count.values(), np.float32, len(count))
         docs.append((own, share / share.sum()))
+    del memo
     if len(set(labels)) < 2:
         return Model(np.zeros(BUCKETS, np.float32), 8.0 if not labels or labels[0] else -8.0)
     weight = [len(labels) / (2 * labels.count(k)) for k in (0, 1)]
@@ -144,7 +146,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE_DOCS) -> Model:
     taken = sizes.select("doc_id", (SAMPLE_CHARS - F.coalesce(F.sum("n").over(room), F.lit(0))).cast("int").alias("room")).where("room > 0")
     cut = sample.join(F.broadcast(taken), "doc_id").select("doc_id", F.substring("text", F.lit(1), F.col("room")).alias("text"), "label")
     rows = sorted(cut.collect(), key=lambda r: (len(r.text), r.doc_id, r.text))
-    return train([r.text for r in rows], [1 if r.label == 1 else 0 for r in rows])
+    texts, kinds = [r.text for r in rows], [1 if r.label == 1 else 0 for r in rows]
+    del rows
+    model = train(texts, kinds)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
