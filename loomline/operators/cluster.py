@@ -5,12 +5,17 @@ from __future__ import annotations
 from itertools import combinations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomline.functions.codes import BARCODE, NATIONAL
 from loomline.session import folded, stored
 
 
+#: A component that has something to refuse is folded in one task up to so many distinct sets, and scheme by scheme beyond.
+LARGE = 20_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (the least node reachable) of edges(a, b). Hooking and pointer jumping; each round is written to the shared
     folder and only an emptiness test reaches the driver."""
@@ -91,31 +96,114 @@ def ungated(placed: DataFrame) -> DataFrame:
     return placed.select("component").distinct().join(held, "component", "left_anti")
 
 
+def contracted(placed: DataFrame, allowed: DataFrame) -> DataFrame:
+    """component, cluster, lane, scheme, value of guard() over components of any size, from (component, lane, set, scheme, value, never)
+    and the allowed pairs (scheme, left, right); clusters are numbered by their least sets.
+
+    The guard takes edges scheme by scheme, and what it refuses within one it refuses ever after: clusters only gain values, and stand
+    once they stand. So sets are contracted a scheme at a time: of two clusters only the first edge counts, edges whose ends conflict
+    at the start are gone, and of what still hangs together only parts in which something may yet be refused are folded in a task.
+    """
+    pairs = lambda c: F.array_sort(F.collect_set(F.struct("scheme", "value"))).alias(c)
+    sets = placed.groupBy("component", "lane", "set").agg(pairs("codes"))
+    sets = stored(sets.select("*", F.filter("codes", lambda c: c["scheme"].isin(*NATIONAL)).alias("national"), F.exists("codes", lambda c: ~c["scheme"].isin(*BARCODE)).alias("stands")))
+    label = sets.select("set", F.col("set").alias("node"))
+    nodes = sets.select("component", F.col("set").alias("node"), "national", "stands")
+    bridging = placed.where("NOT never")
+    for scheme in sorted(r[0] for r in bridging.select("scheme").distinct().collect()):
+        of = label.join(nodes.withColumnRenamed("national", "values").withColumnRenamed("stands", "stand"), "node")
+        holders = bridging.where(F.col("scheme") == scheme).select("set", "value").join(sets.select("set", "national", "codes"), "set").join(of, "set")
+        by = W.partitionBy("component", "value").orderBy("national", "codes")
+        line = holders.select("component", "value", "node", "values", "stand", F.struct("value", F.lag("codes").over(by)).alias("place"), *[F.lag(c).over(by).alias(f"p_{c}") for c in ("node", "values", "stand")], F.row_number().over(by).alias("at"))
+        never = (F.col("stand") & F.col("p_stand")) if scheme in BARCODE else F.lit(False)
+        differ = F.exists("values", lambda x: F.exists("p_values", lambda y: (x["scheme"] == y["scheme"]) & (x["value"] != y["value"])))
+        step = stored(line.withColumns({"never": F.coalesce(never, F.lit(False)), "differ": F.coalesce(differ, F.lit(False))}))
+        run = F.sum((F.col("never") | F.col("differ")).cast("int")).over(W.partitionBy("component", "value").orderBy("at"))
+        star = step.withColumn("run", run).groupBy("component", "value", "run", "node").agg(F.lit(1)).select("node", F.min("node").over(W.partitionBy("component", "value", "run")).alias("b"))
+        met = step.where("p_node <> node AND NOT never").groupBy(F.least("node", "p_node").alias("x"), F.greatest("node", "p_node").alias("y")).agg(F.min("place").alias("place"), F.max("differ").alias("differ"))
+        own = lambda n: nodes.select(F.col("node").alias(n), F.col("national").alias(f"v_{n}"))
+        cross = met.where("differ").join(own("x"), "x").join(own("y"), "y").select("x", "y", F.explode("v_x").alias("l"), "v_y").select("x", "y", "l", F.explode("v_y").alias("r")).where("l.scheme = r.scheme AND l.value <> r.value")
+        bad = cross.select("x", "y", F.col("l.scheme").alias("scheme"), F.least("l.value", "r.value").alias("left"), F.greatest("l.value", "r.value").alias("right")).join(allowed, ["scheme", "left", "right"], "left_anti").select("x", "y").distinct()
+        kept = stored(met.join(bad, ["x", "y"], "left_anti"))
+        links = star.where("node <> b").select(F.col("node").alias("a"), "b").union(kept.where("differ").select("x", "y")).distinct()
+        if kept.isEmpty():
+            continue
+        tree = stored(components(links).withColumnRenamed("component", "tree").join(nodes, "node"))
+        values = tree.select("tree", F.explode("national").alias("v")).groupBy("tree", "v.scheme").agg((F.min("v.value") != F.max("v.value")).alias("many")).where("many").select("tree")
+        contested = values if scheme not in BARCODE else values.union(tree.groupBy("tree").agg(F.count_if("stands").alias("n")).where("n > 1").select("tree"))
+        contested = stored(contested.distinct())
+        moved = tree.join(contested, "tree", "left_anti").select("node", F.col("tree").alias("new"))
+        if not contested.isEmpty():
+            hard = tree.join(contested, "tree", "left_semi")
+            side = lambda n: hard.select("tree", F.explode("national").alias("v")).select("tree", "v.scheme", F.col("v.value").alias(n)).distinct()
+            fine = side("left").join(side("right"), ["tree", "scheme"]).join(allowed, ["scheme", "left", "right"], "left_semi").select("tree", "scheme", "left", "right")
+            edges = kept.join(hard.select("tree", F.col("node").alias("x")), "x").select("tree", "x", "y", "place")
+            rows = hard.select("tree", "node", "national", "stands").unionByName(edges, allowMissingColumns=True).unionByName(fine, allowMissingColumns=True)
+            moved = moved.union(folded(rows.select("tree", "node", "national", "stands", "x", "y", "place", "scheme", "left", "right"), "tree", _merge(scheme in BARCODE), "node string, new string"))
+        moved = stored(moved)
+        label = stored(label.join(moved, "node", "left").select("set", F.coalesce("new", "node").alias("node")))
+        grown = nodes.join(moved, "node", "left").select("component", F.coalesce("new", "node").alias("node"), "stands", F.explode_outer("national").alias("v"))
+        nodes = stored(grown.groupBy("component", "node").agg(F.array_sort(F.collect_set("v")).alias("national"), F.max("stands").alias("stands")))
+    least = sets.join(label, "set").groupBy("component", "node").agg(F.min("codes").alias("least"))
+    number = (F.row_number().over(W.partitionBy("component").orderBy("least")) - 1).alias("cluster")
+    return placed.join(label, "set").select("component", "node", "lane", "scheme", "value").distinct().join(least.select("component", "node", number), ["component", "node"]).select("component", "cluster", "lane", "scheme", "value")
+
+
+def _merge(barcode: bool):
+    """guard() over clusters and the edges of one scheme: (node, the least node of its cluster)."""
+
+    def run(_, rows: list[tuple]) -> list[tuple]:
+        codes, stands, edges, fine = {}, {}, [], set()
+        for _, node, national, stand, x, y, place, scheme, left, right in rows:
+            if node is not None:
+                codes[node], stands[node] = {(c["scheme"], c["value"]) for c in national}, stand
+            elif x is not None:
+                first, at = place.values()
+                edges.append((first, [tuple(c.values()) for c in at], x, y))
+            else:
+                fine.add(((scheme, left), (scheme, right)))
+        parent = {n: n for n in codes}
+
+        def root(n: str) -> str:
+            while parent[n] != n:
+                parent[n] = parent[parent[n]]
+                n = parent[n]
+            return n
+
+        for _, _, x, y in sorted(edges):
+            low, high = sorted((root(x), root(y)))
+            if low == high or barcode and stands[low] and stands[high] or _distinct_values(codes[low] | codes[high], fine, NATIONAL):
+                continue
+            parent[high], stands[low] = low, stands[low] or stands[high]
+            codes[low] |= codes.pop(high)
+        return [(n, root(n)) for n in parent]
+
+    return run
+
+
 def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: DataFrame | None = None, same: DataFrame | None = None) -> DataFrame:
     """component, cluster (its number in its component), scheme, value from listings(listing, scheme, value and, where lanes are kept
     apart, lane); with lane where that is given.
 
     The guard only refuses edges, so its clusters lie within the components of the unguarded graph and each component is decided alone.
     A component in which nothing can be refused is one cluster without it, so a hub of any size stays in Spark's own joins; the others
-    are folded one a task, in the order of their edges, over distinct sets. Pairs that one listing asserts together are gathered over
+    are folded one a task, in the order of their edges, over distinct sets, or contracted() where they are large. Pairs that one listing asserts together are gathered over
     all components first, as a shared code's pair may lie in another one. ``shared`` has scheme, value and may be as large as the
     listings; ``distinct`` and ``same`` have l_scheme, l_value, r_scheme, r_value and are bounded by stewards' work.
     """
     spark = listings.sparkSession
     lanes = "lane" in listings.columns
-    rows = (listings if lanes else listings.withColumn("lane", F.lit(""))).select("lane", F.col("listing").cast("string").alias("listing"), "scheme", "value").distinct()
+    rows = (listings if lanes else listings.withColumn("lane", F.lit(""))).select("lane", F.col("listing").cast("string").alias("listing"), "scheme", "value")
     code = F.concat_ws("\x1f", "lane", "scheme", "value")
     never = F.lit(False)
     if shared is not None:
         rows = rows.join(shared.select("scheme", "value").distinct().withColumn("never", F.lit(True)), ["scheme", "value"], "left")
         never = F.coalesce("never", F.lit(False))
-    keyed = stored(rows.select("lane", "listing", "scheme", "value", never.alias("never"), code.alias("code")))
     # Listings of one set are one node, so that two that assert equal shared codes only are one set for the guard too.
-    whole = keyed.groupBy("lane", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value"))).alias("codes"))
+    whole = rows.groupBy("lane", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value", never.alias("never")))).alias("codes"))
     said = F.transform("codes", lambda c: F.concat_ws("\x1f", c["scheme"], c["value"]))
-    of_set = whole.select("lane", "listing", F.md5(F.concat_ws("\x1e", "lane", said)).alias("set"))
-    held = keyed.join(of_set, ["lane", "listing"])
-    sets = stored(held.groupBy("lane", "set", "scheme", "value", "code").agg(F.max("never").alias("never"), F.min("listing").alias("listing")))
+    of_set = whole.groupBy("lane", F.md5(F.concat_ws("\x1e", "lane", said)).alias("set")).agg(F.first("codes").alias("codes"))
+    sets = stored(of_set.select("lane", "set", F.explode("codes").alias("c")).select("lane", "set", "c.*").withColumn("code", code))
     node = F.concat(F.lit("s"), "set")
     edges = sets.where("NOT never").select(node.alias("a"), F.concat(F.lit("c"), "code").alias("b"))
     pairs = lambda df: {tuple(sorted([(r[0], r[1]), (r[2], r[3])])) for r in df.select("l_scheme", "l_value", "r_scheme", "r_value").distinct().collect()} if df is not None else set()
@@ -136,7 +224,8 @@ def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: Data
     plain = placed.join(easy, "component", "left_semi").select("component", F.lit(0).alias("cluster"), *lane_of, "scheme", "value").distinct()
     hard = stored(placed.join(easy, "component", "left_anti"))
     side = lambda n: hard.where(F.col("scheme").isin(*NATIONAL)).select("component", "scheme", F.col("value").alias(n)).distinct()
-    near = stored(allowed).join(side("left"), ["scheme", "left"]).join(side("right"), ["component", "scheme", "right"]).select("component", "scheme", F.col("left").alias("value"), "right")
+    allowed = stored(allowed)
+    near = allowed.join(side("left"), ["scheme", "left"]).join(side("right"), ["component", "scheme", "right"]).select("component", "scheme", F.col("left").alias("value"), "right")
 
     def run(key: str, rows: list[tuple]) -> list[tuple]:
         sets, never, allow, lane = {}, set(), set(), ""
@@ -150,6 +239,10 @@ def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: Data
                 never.add((scheme, value))
         return [(key, k, lane, s, v) for k, c in enumerate(guard(list(sets.values()), never, allow, apart, joined)) for s, v in c]
 
+    large = stored(hard.groupBy("component").agg(F.countDistinct("set").alias("n")).where(F.col("n") > LARGE).select("component"))
+    if not (apart or joined or large.isEmpty()):
+        plain = plain.unionByName(contracted(stored(hard.join(large, "component", "left_semi")), allowed).select("component", "cluster", *lane_of, "scheme", "value"))
+        hard, near = hard.join(large, "component", "left_anti"), near.join(large, "component", "left_anti")
     rows = hard.select("component", "set", "lane", "scheme", "value", "never").unionByName(near, allowMissingColumns=True)
     found = folded(rows.select("component", "set", "lane", "scheme", "value", "never", "right"), "component", run, "component string, cluster int, lane string, scheme string, value string")
     return plain.unionByName(found.select("component", "cluster", *lane_of, "scheme", "value"))
