@@ -72,6 +72,12 @@ def from_events(events: DataFrame, aliases: dict[str, str] | None = None) -> Red
     return rederive(mapping.claims(events, listed, aliases))
 
 
+def identity_claims(events: DataFrame) -> DataFrame:
+    """The identity claims of histories' events: what a fold over days reads, without the attributes, edges and keys of from_events()."""
+    own = stored(events.where("kind IN ('identity', 'media')"))
+    return mapping.identity_claims(own, stored(mapping.periods(own)))
+
+
 def golden_records(events: DataFrame, policy: catalog.Policy = None, aliases: dict[str, str] | None = None) -> catalog.Catalog:
     """Golden records of whole histories: sources are ranked by ``policy``, fields renamed by ``aliases``."""
     folded = from_events(events, aliases)
