@@ -61,6 +61,15 @@ def winnowed(batch: DataFrame, current: DataFrame | None) -> DataFrame:
     return keyed.join(kept, ["slot", "content", "index"], "left_semi").drop("content")
 
 
+def changing(rows: DataFrame, current: DataFrame | None) -> DataFrame:
+    """winnowed() of compacted rows: with one claim a slot there are no repeats, only what ``current`` holds already."""
+    keyed = rows.withColumn("slot", mapping.slot())
+    if current is None:
+        return keyed
+    held = current.select("slot", content().alias("stored"))
+    return keyed.withColumn("content", content()).join(held, "slot", "left").where(~F.col("content").eqNullSafe(F.col("stored"))).drop("content", "stored")
+
+
 def compacted(batch: DataFrame) -> DataFrame:
     """The last claim of each slot, in the batch's order: a cut-over takes the source's present, not its history."""
     return slots.current(batch.withColumn("slot", mapping.slot()), ["slot"], ["index"]).drop("slot")
@@ -84,15 +93,34 @@ def _starts(kept: store.Store, members: DataFrame) -> DataFrame:
     return kept.read("starts") if kept.has("starts") else ledger.next_keys(members)
 
 
+@dataclass(frozen=True)
+class Fresh:
+    """The claims of a batch that change something, and how many there are of them and of those that do not."""
+
+    claims: DataFrame
+    accepted: int
+    skipped: int
+    compacted: int
+
+
+def fresh_of(kept: store.Store, batch: DataFrame, compact: bool = False) -> Fresh:
+    size = batch.count()
+    rows = stored(compacted(batch)) if compact else batch
+    current = kept.read("live") if kept.has("live") else None
+    claims = stored(changing(rows, current) if compact else winnowed(rows, current))
+    accepted, given = claims.count(), rows.count() if compact else size
+    return Fresh(claims, accepted, given - accepted, size - given)
+
+
 def simulate(kept: store.Store, batch: DataFrame, compact: bool = False) -> Outcome:
     """What taking a batch would come to, without taking it. claims(mapping.CLAIM, index); an index is a claim's place in the batch."""
-    spark = kept.spark
-    size = batch.count()
-    rows = compacted(batch) if compact else batch
+    return _outcome(kept, fresh_of(kept, batch, compact))
+
+
+def _outcome(kept: store.Store, found: Fresh) -> Outcome:
+    fresh, accepted = found.claims, found.accepted
     current = kept.read("live") if kept.has("live") else None
-    members = kept.read("members") if kept.has("members") else spark.createDataFrame([], golden.MEMBERS)
-    fresh = stored(winnowed(rows, current))
-    accepted, given = fresh.count(), rows.count()
+    members = kept.read("members") if kept.has("members") else kept.spark.createDataFrame([], golden.MEMBERS)
     following = 0
     for table in ("claims", "events"):
         top = kept.read(table).agg(F.max("order")).first()[0] if kept.has(table) else None
@@ -111,7 +139,7 @@ def simulate(kept: store.Store, batch: DataFrame, compact: bool = False) -> Outc
     ids = legacy.allocate(after.where("lane = 'product'"), grouped, None if assigned is None else assigned.select("key", "legacy_id"))
     new = folded.decisions.where("action IN ('mint', 'split')").groupBy("lane").agg(F.max(ledger.key_number(F.col("key"))).alias("top"))
     starts = stored(_starts(kept, members).join(new, "lane", "left").select("lane", F.greatest("start", F.coalesce("top", F.lit(0)) + 1).alias("start")))
-    return Outcome(accepted, given - accepted, size - given, stored(events), after, live, ordered, shared, stored(ids), starts)
+    return Outcome(accepted, found.skipped, found.compacted, stored(events), after, live, ordered, shared, stored(ids), starts)
 
 
 def take(kept: store.Store, batch: DataFrame, idempotency_key: str | None = None, compact: bool = False) -> dict:
@@ -124,12 +152,13 @@ def take(kept: store.Store, batch: DataFrame, idempotency_key: str | None = None
             if seen.fingerprint != mark:
                 raise Refused(409, "the idempotency key was used with other claims")
             return {"accepted": seen.accepted, "skipped": seen.skipped, "compacted": seen.compacted, "replayed": True}
-    found = simulate(kept, batch, compact)
-    answer = {"accepted": found.accepted, "skipped": found.skipped, "compacted": found.compacted, "replayed": False}
+    fresh = fresh_of(kept, batch, compact)
+    answer = {"accepted": fresh.accepted, "skipped": fresh.skipped, "compacted": fresh.compacted, "replayed": False}
     appended = {}
     if idempotency_key is not None:
-        appended["batches"] = kept.spark.createDataFrame([(idempotency_key, mark, found.accepted, found.skipped, found.compacted)], "idempotency_key string, fingerprint string, accepted bigint, skipped bigint, compacted bigint")
-    if found.accepted:
+        appended["batches"] = kept.spark.createDataFrame([(idempotency_key, mark, fresh.accepted, fresh.skipped, fresh.compacted)], "idempotency_key string, fingerprint string, accepted bigint, skipped bigint, compacted bigint")
+    if fresh.accepted:  # what changes nothing is not folded
+        found = _outcome(kept, fresh)
         appended |= {"claims": found.claims, "events": found.events, "ids": found.ids}
         kept.commit({"members": found.members, "live": found.live, "shared": found.shared, "starts": found.starts}, appended)
     elif appended:
