@@ -235,7 +235,12 @@ def drift(kept: store.Store) -> DataFrame:
     """table, side, n: rows that only the store's tables have, or only those folded anew. None if the store is what its log says."""
     members, live = rebuilt(kept)
     names = ["slot", "order"]
-    sides = lambda a, b, table: a.subtract(b).select(F.lit(table).alias("table"), F.lit("stored").alias("side")).union(b.subtract(a).select(F.lit(table), F.lit("folded")))
+
+    def sides(own: DataFrame, anew: DataFrame, table: str) -> DataFrame:
+        rows = own.withColumn("side", F.lit(1)).union(anew.withColumn("side", F.lit(2)))  # each is read once
+        seen = rows.groupBy(*own.columns).agg(F.bit_or("side").alias("side")).where("side < 3")
+        return seen.select(F.lit(table).alias("table"), F.when(F.col("side") == 1, "stored").otherwise("folded").alias("side"))
+
     own = kept.read("members").select("lane", "key", "code")
     both = sides(own, members.select("lane", "key", "code"), "members").union(sides(kept.read("live").select(*names), live.select(*names), "live"))
     return both.groupBy("table", "side").agg(F.count("*").alias("n"))
