@@ -10,6 +10,7 @@ from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -25,17 +26,43 @@ SAMPLE_DOCS, SAMPLE_CHARS = 3000, 16 << 20
 #: Rows of the vector table, length of a vector, lengths of the character n-grams.
 BUCKETS, WIDTH, GRAMS = 1 << 18, 10, (3,)
 EPOCHS, RATE, SEED = 5, 0.6, 42
-#: Distinct words whose sums a task remembers.
+#: Distinct words, and n-grams, whose sums a task remembers.
 MEMO = 300_000
 THRESHOLD = 0.3
 
 
+class Memo(dict):
+    """What ``make`` gives of a key, remembered for MEMO keys."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= MEMO:
+            self.clear()
+        value = self[key] = self.make(key)
+        return value
+
+
+def _sign(point: int) -> str:
+    c = chr(point)
+    return "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+
+
+_SIGNS = Memo(_sign)
+
+
+def shape_of(word: str) -> str:
+    """The classes of a word's characters, each where it first comes."""
+    return "".join(dict.fromkeys(word.translate(_SIGNS)))
+
+
 def features(word: str) -> list[int]:
     """Buckets of a word, its marked character n-grams and its shape (upper case, digits and other signs by class)."""
     marked = f"<{word}>"
-    shape = "".join(dict.fromkeys("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))
     grams = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return [xxhash.xxh32_intdigest(x.encode(), seed=k) % BUCKETS for k, x in ((1, word), (2, shape), *((3, g) for g in grams))]
+    return [xxhash.xxh32_intdigest(x.encode(), seed=k) % BUCKETS for k, x in ((1, word), (2, shape_of(word)), *((3, g) for g in grams))]
 
 
 def document_features(words: Counter) -> list[tuple[int, int]]:
@@ -57,23 +84,22 @@ class Model:
     bias: float
 
     def scorer(self):
-        values, memo = self.values, {}
+        """A function of a text. Words, shapes and n-grams are looked up rather than hashed again: most new words are made of known grams."""
+        values = self.values
+        at = lambda x, k: float(values[xxhash.xxh32_intdigest(x.encode(), seed=k) % BUCKETS])
+        shapes, grams = Memo(lambda x: at(x, 2)), Memo(lambda x: at(x, 3))
+
+        def of(word: str) -> float:
+            marked = f"<{word}>"
+            return at(word, 1) + shapes[shape_of(word)] + sum([grams[marked[i : i + n]] for n in GRAMS for i in range(len(marked) - n + 1)])
 
-        def of(word: str) -> tuple[float, int]:
-            if (x := memo.get(word)) is None:
-                own = features(word)
-                if len(memo) >= MEMO:
-                    memo.clear()
-                x = memo[word] = (float(values[own].sum()), len(own))
-            return x
+        memo = Memo(of)
 
         def score(text: str) -> float:
-            words = Counter(text.split())
-            total, n = 0.0, 0
-            for w, k in words.items():
-                v, m = of(w)
-                total += k * v
-                n += k * m
+            said = text.split()
+            words = Counter(said)
+            total = sum(map(mul, map(memo.__getitem__, words), words.values()))
+            n = 2 * len(said) + sum(len("".join(said)) + (3 - g) * len(said) for g in GRAMS)  # a marked word has two signs more, and is no shorter than a gram
             for b, k in document_features(words):
                 total += k * float(values[b])
                 n += k
