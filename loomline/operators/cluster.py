@@ -237,9 +237,16 @@ def guarded(listings: DataFrame, shared: DataFrame | None = None, distinct: Data
         rows = rows.join(shared.select("scheme", "value").distinct().withColumn("never", F.lit(True)), ["scheme", "value"], "left")
         never = F.coalesce("never", F.lit(False))
     # Listings of one set are one node, so that two that assert equal shared codes only are one set for the guard too.
-    whole = rows.groupBy("lane", "listing").agg(F.sort_array(F.collect_set(F.struct("scheme", "value", never.alias("never")))).alias("codes"))
+    # One sort of the rows gives most sets, sixteen rows at a time; only listings of more rows are aggregated.
+    by = W.partitionBy("lane", "listing").orderBy("listing")
+    runs = rows.select("lane", "listing", F.struct("scheme", "value", never.alias("never")).alias("c")).select(
+        "lane", "listing", F.row_number().over(by).alias("n"), F.count(F.lit(1)).over(W.partitionBy("lane", "listing")).alias("total"), F.collect_set("c").over(by.rowsBetween(0, 15)).alias("codes")
+    )
+    runs = stored(runs.where("n % 16 = 1").select("lane", F.when(F.col("total") > 16, F.struct("listing")).alias("of"), "codes"))
+    many = runs.where("of IS NOT NULL").select("lane", "of", F.explode("codes").alias("c")).groupBy("lane", "of").agg(F.collect_set("c").alias("codes"))
+    whole = runs.where("of IS NULL").select("lane", "codes").union(many.select("lane", "codes")).select("lane", F.sort_array("codes").alias("codes"))
     bridges = F.transform(F.filter("codes", lambda c: ~c["never"]), lambda c: F.concat(F.lit("c"), F.concat_ws("\x1f", "lane", c["scheme"], c["value"])))
-    sets = stored(whole.select("lane", "codes").distinct().withColumn("nodes", F.array_sort(bridges)))
+    sets = stored(whole.select("lane", "codes").distinct().withColumn("nodes", F.sort_array(bridges)))
     ends = lambda df: {tuple(sorted([(r[0], r[1]), (r[2], r[3])])) for r in df.select("l_scheme", "l_value", "r_scheme", "r_value").distinct().collect()} if df is not None else set()
     apart, joined = ends(distinct), ends(same)
     if joined:
